@@ -68,3 +68,28 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
         return left.join(right, keys, how)
     few = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(*keys).schema))
     return left.join(few, keys, "left_anti").join(right, keys, how).unionByName(left.join(few, keys, "left_semi").join(F.broadcast(right.join(few, keys, "left_semi")), keys, how))
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], per_task: int = 5_000, share: int = 500) -> DataFrame:
+    """Inner join of two sides that may both have hot keys. The rows of a hot key are laid out as a grid: each side is
+    cut in pieces of about per_task rows, and every pair of pieces meets in a task of its own.
+
+    Hot are keys with over 1/share of a side's rows (and over per_task), so at most 2 * share keys, which are broadcast.
+    """
+    hot = None
+    sides = []
+    for df, n in ((left, "_l"), (right, "_r")):
+        counts = df.groupBy(*keys).agg(F.count("*").alias(n))
+        sides.append((counts, n))
+    totals = [c.agg(F.sum(n)).first()[0] or 0 for c, n in sides]
+    over = [c.where(F.col(n) > max(per_task, t // share)) for (c, n), t in zip(sides, totals)]
+    found = over[0].join(over[1], keys, "full").select(*keys, F.ceil(F.coalesce("_l", F.lit(1)) / per_task).cast("int").alias("_nl"), F.ceil(F.coalesce("_r", F.lit(1)) / per_task).cast("int").alias("_nr")).collect()
+    if not found:
+        return left.join(right, keys)
+    hot = F.broadcast(left.sparkSession.createDataFrame(found))
+    one = F.coalesce(F.col("_nl"), F.lit(1)), F.coalesce(F.col("_nr"), F.lit(1))
+    here = lambda df, n: F.pmod(F.xxhash64(*df.columns), n).cast("int")
+    there = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    a = left.join(hot, keys, "left").select(*left.columns, here(left, one[0]).alias("_sl"), there(one[1]).alias("_sr"))
+    b = right.join(hot, keys, "left").select(*right.columns, here(right, one[1]).alias("_sr"), there(one[0]).alias("_sl"))
+    return a.join(b, [*keys, "_sl", "_sr"]).drop("_sl", "_sr")
