@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["plainform_queries", "neardup_queries", "history_queries", "leakage_queries", "mixing_queries"]
+MODULES = ["plainform_queries", "neardup_queries", "history_queries", "leakage_queries", "mixing_queries", "reading_queries"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
