@@ -215,7 +215,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
 
     schema = "shard long, slot long, source string, block long, pass long"
     laid = spark.range(0, n_groups, 1, max(1, min(n_groups, 2000))).mapInPandas(lay, schema) if shards else spark.createDataFrame([], schema)
-    mixed = laid.join(blocks, ["source", "block"]).select("shard", "slot", "source", "block", "pass", "n_tokens", F.transform("spans", lambda s: F.struct(s["doc_id"].alias("doc_id"), s["first"].alias("first"), s["stop"].alias("stop"))).alias("spans"))
+    # the planner takes the slots for as few as the shard groups they come from; neither side may be broadcast for that
+    mixed = laid.hint("merge").join(blocks, ["source", "block"]).select("shard", "slot", "source", "block", "pass", "n_tokens", F.transform("spans", lambda s: F.struct(s["doc_id"].alias("doc_id"), s["first"].alias("first"), s["stop"].alias("stop"))).alias("spans"))
     used = mixed.groupBy("source").agg(F.sum("n_tokens").alias("used_tokens"), (F.max("pass") + 1).alias("most_used"))
     total = Window.partitionBy(F.lit(0))
     report = sums.join(wanted, "source", "full").join(have, "source", "left").join(used, "source", "left").fillna(0, ["n_docs", "n_tokens", "n_blocks", "used_tokens", "most_used", "target_share", "max_repeat"])
