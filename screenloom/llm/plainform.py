@@ -8,8 +8,8 @@ marks ordered by class and recomposed, and the string rebuilt.
 Plain form: wide, narrow, joined and presentation variants and letter-like fonts become the plain characters (super-
 and subscripts, fractions and circled characters look different and stay); a letter and a separate mark become the
 composed letter; characters without width vanish; every blank is U+0020. A letter of another script inside a Latin,
-Greek or Cyrillic word becomes the similar-looking letter of the script that the word has most exclusive letters of,
-then most letters of, then in the order Latin, Cyrillic, Greek. A kanji or dash that looks like kana becomes kana
+Greek or Cyrillic word becomes the similar-looking letter of the word's own script: of the scripts it has letters of,
+the one that fewest of its letters can't be written in, then the one with most letters, then Latin, Cyrillic, Greek. A kanji or dash that looks like kana becomes kana
 where it touches katakana and no other kanji.
 
 Null stays null, '' stays ''; texts of any length are taken whole; a repeated text gets the same form each time.
@@ -159,8 +159,13 @@ def plain_tokens(tokens: DataFrame) -> DataFrame:
     known = F.when(F.col("kind") != "A", F.col("kind"))
     d = d.withColumns({"left": F.last(known, ignorenulls=True).over(before), "near": F.last("kind", ignorenulls=True).over(before), "right": F.last(known, ignorenulls=True).over(after)})
     in_word = Window.partitionBy("key", "word")
-    own = F.col("lat").isNull() & F.col("script").isNotNull()
-    score = {s: F.sum(F.when(F.col("script") == s, F.when(own, 1_000_000).otherwise(1)).otherwise(0).cast("long")).over(in_word) for s in "LCG"}
+    # a letter bars every script it neither belongs to nor has a double in
+    double = {"L": "lat", "C": "cyr", "G": "gre"}
+    score = {}
+    for k, c in double.items():
+        mine = F.col("script") == k
+        bars = F.col("script").isNotNull() & ~mine & (F.coalesce(F.col(c), F.lit("")) == "")
+        score[k] = F.when(F.sum(F.when(mine, 1).otherwise(0)).over(in_word) > 0, F.sum(F.when(mine, 1).when(bars, -1_000_000).otherwise(0).cast("long")).over(in_word)).otherwise(F.lit(-(1 << 60)))
     d = d.withColumns({"sl": score["L"], "sc": score["C"], "sg": score["G"]})
     most = F.greatest("sl", "sc", "sg")
     to = F.when(F.col("sl") == most, F.col("lat")).when(F.col("sc") == most, F.col("cyr")).otherwise(F.col("gre"))

@@ -25,9 +25,12 @@ def brute(text):
         if not word:
             return
         score = [0, 0, 0]
-        for i in word:
-            s = ("LATIN", "CYRILLIC", "GREEK").index(name(chars[i]).split()[0])
-            score[s] += 1 if any(chars[i] in t for t in (LAT, CYR, GRE)) else 1_000_000
+        of = [("LATIN", "CYRILLIC", "GREEK").index(name(chars[i]).split()[0]) for i in word]
+        for k in range(3):
+            for i, s in zip(word, of):
+                row = LAT.get(chars[i]) or CYR.get(chars[i]) or GRE.get(chars[i])
+                score[k] += 1 if s == k else 0 if row and row[k] != "." else -1_000_000
+            score[k] = score[k] if k in of else -(10**18)
         to = score.index(max(score))
         for i in word:
             row = LAT.get(chars[i]) or CYR.get(chars[i]) or GRE.get(chars[i])
@@ -54,7 +57,7 @@ def brute(text):
 
 
 CASES = {
-    "Ｌｖ１２": "Lv12", "ｶﾞｲﾄﾞ": "ガイド", "Café": "Café", "a​b­c": "abc", "x y　z": "x y z", "Rеwіnd": "Rewind", "Caд": "Саd"[:0] + "Сад", "ΗΡ": "ΗΡ", "ﬁle": "file", "Ⅲ": "III",
+    "Ｌｖ１２": "Lv12", "ｶﾞｲﾄﾞ": "ガイド", "Café": "Café", "a​b­c": "abc", "x y　z": "x y z", "Rеwіnd": "Rewind", "Caд": "Саd"[:0] + "Сад", "ΗΡ": "ΗΡ", "Nаһаѕ": "Nahas", "Лepy": "Леру", "ﬁle": "file", "Ⅲ": "III",
     "ペッ卜": "ペット", "一覧": "一覧", "アイテム一覧": "アイテム一覧", "メニュ一": "メニュー", "入口一覧": "入口一覧", "ガイ卜゙": "ガイド", "工房": "工房", "工リア": "エリア", "二人確認": "二人確認", "x²": "x²", "": "", "plain": "plain",
     "q̣̇": "q̣̇", "q̣̇": "q̣̇", "한": "한", "́a": "́a", "ệ": "ệ", "´": "´", "й": "й", "😀ａ": "😀a", "á́": "á́", "Ångström": "Ångström",
 }
