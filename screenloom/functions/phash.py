@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SIDE, KEPT = 32, 8
 
@@ -34,7 +35,7 @@ def hex_of(bits: str | Column) -> Column:
     return F.lower(F.lpad(F.conv(bits, 2, 16), 16, "0"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def phash_of_pixels(pixels: pd.Series) -> pd.Series:
     """Hash of grey images of 32 by 32 values, row by row; null for null or for another size."""
     ok = pixels.map(lambda p: p is not None and len(p) == SIDE * SIDE)

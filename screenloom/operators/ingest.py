@@ -114,7 +114,7 @@ def nms(boxes: DataFrame, keys: list[str], limit: float = 0.4) -> DataFrame:
     empty = F.filter("b", lambda _: F.lit(False))
     apart = lambda kept, x: ~F.exists(kept, lambda k: iou(k["x"], k["y"], k["w"], k["h"], x["x"], x["y"], x["w"], x["h"]) >= limit)
     kept = F.aggregate("b", empty, lambda acc, x: F.when(apart(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    return arr.select(*keys, F.explode(kept).alias("k")).select(*keys, F.col("k.id").alias("id"))
+    return arr.select(*keys, F.explode(kept).alias("_kept")).select(*keys, F.col("_kept.id").alias("id"))
 
 
 def nth_rows(df: DataFrame, key: Column, n: int) -> DataFrame:

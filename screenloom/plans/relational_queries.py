@@ -99,7 +99,7 @@ def search_default_title(spark, d):
 @query("""WITH t AS (SELECT id, string_split(lower(coalesce(ocr_text, '')), ' ') AS w FROM lc_screens),
 c AS (SELECT id, len(list_filter(w, lambda x: x = 'confirm')) AS a, len(list_filter(w, lambda x: starts_with(x, 'can'))) AS b FROM t),
 n AS (SELECT count(*) AS n, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c)
-SELECT id, round(a * pow(log10(n / nullif(da, 0)), 2) + b * pow(log10(n / nullif(db, 0)), 2), 6) AS relevance FROM c, n WHERE a > 0 OR b > 0 ORDER BY relevance DESC, id DESC LIMIT 50""")
+SELECT id, round(coalesce(a * pow(log10(n / nullif(da, 0)), 2), 0) + coalesce(b * pow(log10(n / nullif(db, 0)), 2), 0), 6) AS relevance FROM c, n WHERE a > 0 OR b > 0 ORDER BY relevance DESC, id DESC LIMIT 50""")
 def search_prefix_rank(spark, d):
     return search.ranked(table(spark, d, "lc_screens"), "confirm can", 50).select("id", "relevance")
 
