@@ -22,7 +22,9 @@ def dct_matrix(n: int = SIDE) -> np.ndarray:
 def bits_of_block(block: Column) -> Column:
     """64 characters 0 and 1: which of 64 coefficients, row by row, exceed their mean."""
     mean = F.aggregate(block, F.lit(0.0), lambda a, x: a + x) / F.size(block)
-    return F.array_join(F.transform(block, lambda x: F.when(x > mean, "1").otherwise("0")), "")
+    # an array of one, so that the mean is computed once and not for each coefficient
+    bits = F.transform(F.array(F.struct(block.alias("b"), mean.alias("m"))), lambda s: F.array_join(F.transform(s["b"], lambda x: F.when(x > s["m"], "1").otherwise("0")), ""))
+    return F.get(bits, F.lit(0))
 
 
 def signed(bits: str | Column) -> Column:

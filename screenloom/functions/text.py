@@ -53,9 +53,15 @@ def _width(boxes: Column) -> Column:
     return F.coalesce((F.array_max(xs) * F.lit(1.05)).cast("int"), F.lit(1000))
 
 
+def with_size(boxes: Column, f) -> Column:
+    """f(boxes, height, width), with the screen's size computed once per row and not once per box."""
+    sized = F.transform(F.array(F.struct(boxes.alias("b"), _height(boxes).alias("h"), _width(boxes).alias("w"))), lambda s: f(s["b"], s["h"], s["w"]))
+    return F.get(sized, F.lit(0))
+
+
 def fingerprint_v2(boxes: Column) -> Column:
     """Fingerprint of recognised text without digits and status bar (F1). boxes: array of struct(text, confidence, box, center)."""
-    kept = F.filter(boxes, lambda r: (r["confidence"] >= 0.75) & (r["center"][1] >= _height(boxes) * F.lit(0.05)))
+    kept = with_size(boxes, lambda b, h, w: F.filter(b, lambda r: (r["confidence"] >= 0.75) & (r["center"][1] >= h * F.lit(0.05))))
     return fingerprint_of_lines(F.transform(kept, lambda r: r["text"]))
 
 
@@ -77,7 +83,10 @@ def box_height(box: Column) -> Column:
 
 def screen_title(boxes: Column) -> Column:
     """Title of a screen: the tallest text near the top, else the surest centred text, else 'unknown' (F4). First on ties."""
-    h, w = _height(boxes), _width(boxes)
+    return with_size(boxes, _title)
+
+
+def _title(boxes: Column, h: Column, w: Column) -> Column:
     at = F.transform(boxes, lambda r, i: F.struct(r["text"].alias("text"), r["confidence"].alias("conf"), r["center"].alias("c"), box_height(r["box"]).alias("tall"), (-i).alias("order")))
     base = F.filter(at, lambda r: (r["conf"] > 0.8) & F.length(r["text"]).between(2, 20) & ~strip(r["text"]).isin(NO_TITLES) & (r["c"][1] > h * F.lit(0.05)))
     large = F.filter(base, lambda r: (r["c"][1] < h * F.lit(0.30)) & (r["tall"] >= h * F.lit(0.03)))
@@ -99,7 +108,10 @@ def contains_any(c: Column, keywords: list[str]) -> Column:
 def tappable_items(boxes: Column, least_confidence: float = 0.5) -> Column:
     """Items worth tapping, in reading order, the first of equal stripped texts (F5): array of struct(text, path), where
     path says why: action word, footer, chevron row or content."""
-    h, w = _height(boxes), _width(boxes)
+    return with_size(boxes, lambda b, h, w: _tappable(b, h, w, least_confidence))
+
+
+def _tappable(boxes: Column, h: Column, w: Column, least_confidence: float) -> Column:
     right = w * F.lit(0.85)
     chevrons = F.transform(F.filter(boxes, lambda r: strip(r["text"]).isin(">", "›") & (r["center"][0] > right)), lambda r: r["center"][1])
     band = h * F.lit(0.04)

@@ -1,12 +1,14 @@
 """64-bit perceptual hashes: exact joins by Hamming distance.
 
-Distance below t: the 64 bits are cut in bands of 16, and of t-1 differing bits some band has at most (t-1) // 4. One
-side is stored under each band's value, the other asks for each value within that radius. Keys are band and value, so
-there are 262,144 of them at most; rows of a hot key are split over tasks (split_join). No pair is lost.
+Distance below t: the 64 bits are cut in bands, and of t-1 differing bits some band has at most (t-1) // bands. One side
+is stored under each band's value, the other asks for each value within that radius. More bands mean fewer questions but
+fuller buckets, so the number of bands is chosen by the expected rows for the number of hashes; any choice is exact.
+Rows of a hot key are split over tasks (split_join).
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..session import split_join
 
-BANDS, BITS = 4, 16
+#: Bands that may be chosen, and the number used where keys are kept (they must not change with the size).
+CHOICES, BANDS = (8, 4, 2), 4
 
 
 def bits_of(phash: str | Column) -> Column:
@@ -29,44 +32,64 @@ def hamming(a: str | Column, b: str | Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 
 
-def _band(h: Column, i: int) -> Column:
-    return F.shiftrightunsigned(h, i * BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+def _key(h: Column, i: int, bands: int) -> Column:
+    """Band number and value in one number."""
+    bits = 64 // bands
+    value = F.shiftrightunsigned(h, i * bits).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(i << bits)
+    return value.cast("int") if bits <= 16 else value.cast("long")
 
 
-def stored_keys(h: str) -> Column:
+def _masks(bands: int, below: int) -> list[int]:
+    """Differences of a band within the radius."""
+    bits = 64 // bands
+    return [sum(1 << b for b in c) for r in range((below - 1) // bands + 1) for c in combinations(range(bits), r)]
+
+
+def bands_for(n: int, below: int) -> int:
+    """The choice of fewest expected rows, questions and candidates, for n hashes a side."""
+
+    def rows(bands: int) -> float:
+        asked = bands * sum(math.comb(64 // bands, r) for r in range((below - 1) // bands + 1))
+        return n * asked + n * n * asked / 2.0 ** (64 // bands) + (float("inf") if asked > 12_000 else 0)
+
+    return min(CHOICES, key=rows)
+
+
+def stored_keys(h: str, bands: int = BANDS) -> Column:
     """Keys under which a hash is stored: one per band."""
-    return F.array(*[_band(F.col(h), i) + F.lit(i << BITS) for i in range(BANDS)])
+    return F.array(*[_key(F.col(h), i, bands) for i in range(bands)])
 
 
-def asked_keys(h: str, below: int) -> Column:
+def asked_keys(h: str, below: int, bands: int = BANDS) -> Column:
     """Keys at which every hash at a distance below `below` is stored in at least one."""
-    radius = (below - 1) // BANDS
-    masks = [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(BITS), r)]
-    if len(masks) > 3_000:
-        raise ValueError("bands of 16 bits serve distances up to 15; compare with every row beyond that")
-    flips = F.array(*[F.lit(m) for m in masks])
+    flips = F.array(*[F.lit(m) for m in _masks(bands, below)])
 
     def around(i: int) -> Column:
-        return F.transform(flips, lambda m: _band(F.col(h), i).bitwiseXOR(m) + F.lit(i << BITS))
+        return F.transform(flips, lambda m: _key(F.col(h), i, bands).bitwiseXOR(m))
+
+    return F.flatten(F.array(*[around(i) for i in range(bands)]))
+
 
-    return F.flatten(F.array(*[around(i) for i in range(BANDS)]))
+def _near(left: DataFrame, right: DataFrame, below: int, bands: int | None) -> DataFrame:
+    """(lh, rh) candidates: columns lh and rh hold distinct hashes."""
+    bands = bands or bands_for(max(left.count(), right.count()), below)
+    stored = right.select(F.explode(stored_keys("rh", bands)).alias("key"), "rh")
+    asked = left.select(F.explode(asked_keys("lh", below, bands)).alias("key"), "lh")
+    return split_join(asked, stored, ["key"])
 
 
-def hamming_pairs(hashes: DataFrame, below: int) -> DataFrame:
+def hamming_pairs(hashes: DataFrame, below: int, bands: int | None = None) -> DataFrame:
     """(a, b, distance), a < b, of all pairs of distinct values of column h (BIGINT) that differ in fewer than `below` bits.
 
     Null hashes are in no pair. An empty table has no pairs.
     """
     h = hashes.select("h").where("h is not null").distinct()
-    stored = h.select(F.explode(stored_keys("h")).alias("key"), F.col("h").alias("b"))
-    asked = h.select(F.explode(asked_keys("h", below)).alias("key"), F.col("h").alias("a"))
-    near = split_join(asked, stored, ["key"]).where((F.col("a") < F.col("b")) & (hamming("a", "b") < below))
-    return near.select("a", "b").distinct().withColumn("distance", hamming("a", "b"))
+    near = _near(h.toDF("lh"), h.toDF("rh"), below, bands).where((F.col("lh") < F.col("rh")) & (hamming("lh", "rh") < below))
+    return near.select(F.col("lh").alias("a"), F.col("rh").alias("b")).distinct().withColumn("distance", hamming("a", "b"))
 
 
-def hamming_matches(left: DataFrame, right: DataFrame, below: int) -> DataFrame:
+def hamming_matches(left: DataFrame, right: DataFrame, below: int, bands: int | None = None) -> DataFrame:
     """(lh, rh, distance) of all pairs of distinct values of left.h and right.h that differ in fewer than `below` bits."""
-    stored = right.select("h").where("h is not null").distinct().select(F.explode(stored_keys("h")).alias("key"), F.col("h").alias("rh"))
-    asked = left.select("h").where("h is not null").distinct().select(F.explode(asked_keys("h", below)).alias("key"), F.col("h").alias("lh"))
-    near = split_join(asked, stored, ["key"]).where(hamming("lh", "rh") < below)
+    lh, rh = (df.select("h").where("h is not null").distinct().toDF(n) for df, n in ((left, "lh"), (right, "rh")))
+    near = _near(lh, rh, below, bands).where(hamming("lh", "rh") < below)
     return near.select("lh", "rh").distinct().withColumn("distance", hamming("lh", "rh"))

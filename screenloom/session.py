@@ -54,15 +54,18 @@ def all_salts(salts: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
 
 
+#: Rows of one key that a task takes without more ado.
+HOT_ROWS = 100_000
+
+
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: int = 256) -> DataFrame:
     """left joined with right, whose keys are unique, without gathering a hot key's rows of left in one task.
 
-    Keys that hold more than 1/share of left's rows, of which there are fewer than share, are found by counting; their
-    rows meet a broadcast of at most `share` rows of right, all others a shuffled join. how: inner or left.
+    The `share` most frequent keys of over HOT_ROWS rows are found by counting; their rows meet a broadcast of at most
+    `share` rows of right, all others a shuffled join. how: inner or left.
     """
-    counts = left.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = left.count()
-    hot = [r.asDict() for r in counts.where(F.col("_n") > max(total // share, 10_000)).drop("_n").collect()]
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS)
+    hot = [r.asDict() for r in counts.orderBy(F.desc("_n")).limit(share).drop("_n").collect()]
     hot = [h for h in hot if all(v is not None for v in h.values())]
     if not hot:
         return left.join(right, keys, how)
@@ -70,20 +73,16 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
     return left.join(few, keys, "left_anti").join(right, keys, how).unionByName(left.join(few, keys, "left_semi").join(F.broadcast(right.join(few, keys, "left_semi")), keys, how))
 
 
-def split_join(left: DataFrame, right: DataFrame, keys: list[str], per_task: int = 5_000, share: int = 500) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], per_task: int = 5_000, share: int = 1_000) -> DataFrame:
     """Inner join of two sides that may both have hot keys. The rows of a hot key are laid out as a grid: each side is
     cut in pieces of about per_task rows, and every pair of pieces meets in a task of its own.
 
-    Hot are keys with over 1/share of a side's rows (and over per_task), so at most 2 * share keys, which are broadcast.
+    Hot are the `share` most frequent keys that hold over per_task rows of a side; they are broadcast.
     """
-    hot = None
-    sides = []
-    for df, n in ((left, "_l"), (right, "_r")):
-        counts = df.groupBy(*keys).agg(F.count("*").alias(n))
-        sides.append((counts, n))
-    totals = [c.agg(F.sum(n)).first()[0] or 0 for c, n in sides]
-    over = [c.where(F.col(n) > max(per_task, t // share)) for (c, n), t in zip(sides, totals)]
-    found = over[0].join(over[1], keys, "full").select(*keys, F.ceil(F.coalesce("_l", F.lit(1)) / per_task).cast("int").alias("_nl"), F.ceil(F.coalesce("_r", F.lit(1)) / per_task).cast("int").alias("_nr")).collect()
+    nl, nr = (df.groupBy(*keys).agg(F.count("*").alias(n)).where(F.col(n) > per_task) for df, n in ((left, "_l"), (right, "_r")))
+    most = F.greatest(F.coalesce("_l", F.lit(0)), F.coalesce("_r", F.lit(0)))
+    pieces = lambda n: F.ceil(F.coalesce(n, F.lit(1)) / per_task).cast("int")
+    found = nl.join(nr, keys, "full").select(*keys, pieces("_l").alias("_nl"), pieces("_r").alias("_nr"), most.alias("_n")).orderBy(F.desc("_n")).limit(share).drop("_n").collect()
     if not found:
         return left.join(right, keys)
     hot = F.broadcast(left.sparkSession.createDataFrame(found))

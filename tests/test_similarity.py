@@ -19,12 +19,12 @@ def near_hashes(g, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("below", [1, 5, 8, 10])
-def test_pairs_equal_brute_force(spark, below):
+@pytest.mark.parametrize(("below", "bands"), [(1, None), (5, 2), (8, None), (8, 4), (8, 2), (10, None), (16, None)])
+def test_pairs_equal_brute_force(spark, below, bands):
     hs = near_hashes(random.Random(below), 60)
     want = {(min(SIGNED(a), SIGNED(b)), max(SIGNED(a), SIGNED(b))) for i, a in enumerate(hs) for b in hs[:i] if (a ^ b).bit_count() < below}
     df = spark.createDataFrame([(SIGNED(h), 1, 2) for h in hs] * 2 + [(None, 1, 2)], "h long, a int, key int")
-    assert {(r.a, r.b) for r in similarity.hamming_pairs(df, below).collect()} == want
+    assert {(r.a, r.b) for r in similarity.hamming_pairs(df, below, bands).collect()} == want
 
 
 def test_bits_of(spark):
@@ -43,6 +43,10 @@ def test_hot_bucket_is_split(spark, monkeypatch):
     assert {(r.a, r.b) for r in got.collect()} == want
 
 
+def test_bands_follow_the_number_of_hashes():
+    assert [similarity.bands_for(n, 8) for n in (100, 200_000, 10**9)] == [8, 4, 2]
+
+
 def brute(edges):
     up = {}
     find = lambda x: x if up.setdefault(x, x) == x else find(up[x])
