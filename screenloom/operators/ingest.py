@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import salt_of
+from ..session import checkpoint, salt_of
 
 
 def fold_visits(events: DataFrame, keys: list[str], name: str, ts: str, row: str) -> DataFrame:
@@ -50,7 +50,8 @@ def with_ids(new: DataFrame, state: DataFrame, row_id: str, order: str) -> DataF
     """new with ids that go on from the state's greatest, in the given order (M3). Numbers come from range partitions
     and their sizes, not from one task."""
     start = state.agg(F.coalesce(F.max(row_id), F.lit(0)).alias("m")).first()["m"]
-    parts = new.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    # written down, so that the sizes and the numbers come from the same division into ranges
+    parts = checkpoint(new.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
     counts = parts.groupBy("_part").agg(F.count("*").alias("_c"))
     begin = counts.withColumn("_b", F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).drop("_c")
     local = F.row_number().over(Window.partitionBy("_part").orderBy(order))
