@@ -77,7 +77,7 @@ def by_year(name: str) -> list[tuple[str, str, int, int, list[tuple[int, int]]]]
     return out
 
 
-def known(names: list[str]) -> list[str]:
-    """Those names that the zone data has."""
-    have = available_timezones()
-    return sorted({n for n in names if n in have})
+@cache
+def all_names() -> list[str]:
+    """The names that the zone data has."""
+    return sorted(available_timezones())

@@ -126,7 +126,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _doubled(tree: DataFrame) -> DataFrame:
     """The same columns for scopes too large for a task, by pointer doubling."""
     keys = tree.select("scope", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    at = tree.join(keys, ["scope", "parent"], "left").select("scope", "node", F.when(F.col("known"), F.col("parent")).alias("anc"), F.lit(1).alias("step"))
+    at = hot_join(tree, keys, ["scope", "parent"], "left").select("scope", "node", F.when(F.col("known"), F.col("parent")).alias("anc"), F.lit(1).alias("step"))
     # jump: node -> its 2^i-th ancestor (null: beyond a root); done: path of steps from the root
     state = checkpoint(at.select("scope", "node", "anc", F.when(F.col("anc").isNull(), 0).alias("depth"), F.when(F.col("anc").isNull(), F.col("node")).alias("root"), F.when(F.col("anc").isNull(), F.lit("")).alias("above"), F.when(F.col("anc").isNotNull(), F.col("anc")).alias("names"), F.lit(1).alias("step")))
     limit, rounds = tree.count(), 0
@@ -147,7 +147,8 @@ def _doubled(tree: DataFrame) -> DataFrame:
     on_cycle = state.where("root is null").select("scope", F.col("anc").alias("node")).distinct().withColumn("cyc", F.lit(True))
     sizes = state.where("root is not null and above <> ''").select("scope", F.explode(F.split("above", "/")).alias("node")).groupBy("scope", "node").agg(F.count("*").alias("n"))
     tops = tree.select("scope", F.col("node").alias("root"), F.col("linked").alias("root_linked"))
-    out = tree.join(state.select("scope", "node", "depth", "root", "above"), ["scope", "node"]).join(on_cycle, ["scope", "node"], "left").join(sizes, ["scope", "node"], "left").join(tops, ["scope", "root"], "left")
+    out = tree.join(state.select("scope", "node", "depth", "root", "above"), ["scope", "node"]).join(on_cycle, ["scope", "node"], "left").join(sizes, ["scope", "node"], "left")
+    out = hot_join(out, tops, ["scope", "root"], "left")
     return out.select(
         "scope", "node", "parent", "stored_depth", "linked", F.when(F.col("root").isNotNull(), TREE).when(F.col("cyc"), CYCLE).otherwise(BELOW).alias("status"), "root", "root_linked", F.col("depth").cast("int").alias("depth"),
         F.concat(F.col("above"), F.when(F.col("above") != "", "/").otherwise(""), F.col("node")).alias("path"), F.when(F.col("root").isNotNull(), F.coalesce("n", F.lit(0))).cast("long").alias("n_descendants"),

@@ -97,11 +97,11 @@ def _zone_seconds(z: Column) -> Column:
 
 
 def zone_table(names: DataFrame) -> DataFrame:
-    """(zone, version, year, first, changes) of the zones in column zone. Distinct known names of the zone data are
-    some 600 at most, so the names and the table are of bounded size."""
-    spark = names.sparkSession
-    rows = [r for n in zones.known([r[0] for r in names.select("zone").where("zone is not null").distinct().limit(5000).collect()]) for r in zones.by_year(n)]
-    return spark.createDataFrame(rows, "zone string, tz_version string, year int, first int, changes array<struct<at:long,off:int>>")
+    """(zone, version, year, first, changes) of the zones in column zone. Only names of the zone data, of which there
+    are some 600, are gathered, so the table is of bounded size whatever else the column holds."""
+    known = names.select("zone").where(F.col("zone").isin(zones.all_names())).distinct()
+    rows = [r for n in sorted(r.zone for r in known.collect()) for r in zones.by_year(n)]
+    return names.sparkSession.createDataFrame(rows, "zone string, tz_version string, year int, first int, changes array<struct<at:long,off:int>>")
 
 
 def instants(df: DataFrame, text: str, zone: str) -> DataFrame:
