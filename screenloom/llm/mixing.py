@@ -152,13 +152,14 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     """
     spark = documents.sparkSession
     wanted = targets.where("source is not null").groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeat").alias("max_repeat"))
+    wanted = checkpoint(wanted)
+    if wanted.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     counts = checkpoint(token_counts(documents, vocabulary))
     blocks = checkpoint(packed(counts.join(F.broadcast(wanted.select("source")), "source", "left_semi"), block_tokens, seed))
     sums = counts.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     have = blocks.groupBy("source").agg(F.count("*").alias("n_blocks"))
-    plan = wanted.join(sums, "source", "left").join(have, "source", "left").fillna(0, ["n_docs", "n_tokens", "n_blocks", "target_share", "max_repeat"]).orderBy("source").limit(MOST_SOURCES + 1).toPandas()
-    if len(plan) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    plan = wanted.join(sums, "source", "left").join(have, "source", "left").fillna(0, ["n_docs", "n_tokens", "n_blocks", "target_share", "max_repeat"]).orderBy("source").toPandas()
     size = int(plan.n_tokens.sum()) if total_tokens is None else total_tokens
     slots = -(-size // block_tokens)
     n_blocks, share = plan.n_blocks.to_numpy(np.int64), plan.target_share.to_numpy(float)
