@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import all_salts, salt_of
+from ..session import all_salts, checkpoint, salt_of
 
 #: Least run of words; of letters or digits for languages without blanks. k-gram and window add up to one more.
 RUN = {"w": 12, "c": 30}
 KGRAM = {"w": 7, "c": 16}
 WITHOUT_BLANKS = ("ja",)
-#: Kept hashes of the items that may be broadcast; with more, the join is shuffled and the items' side repeated for SALTS.
+#: Kept hashes of the items, and hits, that may be broadcast; with more, the joins are shuffled (the items' side repeated for SALTS).
 BROADCAST_ROWS = 500_000
 SALTS = 8
 #: Texts are hashed together up to so many characters.
@@ -205,6 +205,9 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         hits = of_docs.withColumn("salt", salt_of(SALTS, "doc_id")).join(of_items.select("*", all_salts(SALTS).alias("salt")), ["unit", "fp", "salt"])
     pairs = hits.groupBy("doc_id", "item_id", "unit").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"))
     texts = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("doc_text"))
-    both = pairs.join(texts, "doc_id").join(tests, ["item_id", "unit"])
+    # few documents hold passages: then all others needn't be shuffled to meet them
+    pairs = checkpoint(pairs)
+    few = (pairs.agg(F.sum(F.size("diagonals"))).first()[0] or 0) <= BROADCAST_ROWS
+    both = texts.join(F.broadcast(pairs) if few else pairs, "doc_id").join(tests, ["item_id", "unit"])
     found = both.mapInPandas(_extend, "doc_id long, item_id long, unit string, run int, at int")
     return found.groupBy("doc_id", "item_id", "unit").agg(F.max(F.struct("run", F.col("at"))).alias("m")).select("doc_id", "item_id", "unit", F.col("m.run").alias("run"), F.col("m.at").alias("at"))
