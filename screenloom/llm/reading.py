@@ -7,8 +7,8 @@ k with chance T(L, k). Labels fix the documents' levels of a bounded sample; dif
 are estimated in turn (each round one distributed pass over the sentences, whose sums per word reach the driver).
 Every document is then scored whole: its level is the one under which its sentences are most likely.
 
-Running sentences end with a sentence mark and consist mostly of words that the model knows; a text without any has no
-level (null), so label lists, logs, blank and null texts have none. Repeated labels of a document are averaged; labels
+Running sentences end with a sentence mark and consist mostly of words that the model knows. A text without any, or of
+which sentences make up less than half, has no level (null), so label lists, logs, blank and null texts have none. Repeated labels of a document are averaged; labels
 of unknown documents, null labels and labels outside 1 to 5 are ignored. Without usable labels no document has a level.
 """
 
@@ -34,6 +34,8 @@ LEAST_SENTENCES = 4
 ROUNDS = 8
 #: Part of a sentence's words that must be known.
 KNOWN = 0.5
+#: Part of a text's characters that its sentences must make up; a list or log that quotes a sentence stays one.
+RUNNING = 0.5
 _SPLIT = re.compile(r"(?<=[.!?])[\s]+|(?<=[。！？])(?![」』）)\"'])|(?<=[。！？][」』）)])|\n")
 _END = re.compile(r"[.!?。！？][\"'」』）)]*$")
 _TOKEN = re.compile(r"[^\W\d_ぁ-ヿ一-鿿]+|[ァ-ヺー]+|[ぁ-ゖ]+|[一-鿿々]+")
@@ -70,7 +72,10 @@ class Model:
         """Level (0: none) and number of running sentences of each text."""
         doc, ids, starts = [], [], []
         for d, t in enumerate(texts):
-            for s in sentences(t) if t else ():
+            found = sentences(t) if t else []
+            if sum(map(len, found)) < RUNNING * len((t or "").strip()):
+                continue
+            for s in found:
                 w = words(s)
                 known = [i for x in w if (i := self.at.get(x)) is not None]
                 if w and len(known) >= KNOWN * len(w):

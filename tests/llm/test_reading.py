@@ -22,18 +22,18 @@ def test_held_out_accuracy(spark):
     assert sum(got[r.doc_id] == r.mean for r in sure) / len(sure) > 0.85
     assert sum((got[r.doc_id] >= 4) == (r.mean >= 4) for r in sure) / len(sure) > 0.95
     no_running = docs.where(F.lower(F.trim("source")).isin("ocr_dump", "session_log")).select("doc_id").collect()
-    assert sum(got[r.doc_id] is not None for r in no_running) / len(no_running) < 0.02
+    assert sum(got[r.doc_id] is not None for r in no_running) / len(no_running) < 0.005
 
 
 def test_odd_texts_and_labels(spark):
     rows = [(i, f"The cat sees the {w}. The cat finds the {w}. The dog keeps the {w}.", "en") for i, w in enumerate(["box", "map", "key", "cup"] * 3)]
     rows += [(100 + i, f"Comprehensive {w} necessarily presupposes systematic deterioration, whereas {w} undermines conceptualisation. " * 4, "en") for i, w in enumerate(["interpretation", "equivalence", "recognition"] * 4)]
-    odd = [(200, None, "en"), (201, "", None), (202, "The cat sees the box. " * 20_000, None), (203, "tap 1,2 -> x\nlabel", "en"), (0, rows[0][1], "en")]
+    odd = [(200, None, "en"), (201, "", None), (202, "The cat sees the box. " * 20_000, None), (203, "tap 1,2 -> x\nlabel", "en"), (204, "label\n" * 40 + "The cat sees the box.", "en"), (0, rows[0][1], "en")]
     docs = spark.createDataFrame([(*r, "clash", 0) for r in rows + odd], "doc_id long, text string, lang string, mean string, level int")
     labels = spark.createDataFrame([(i, 1) for i in range(12)] + [(100 + i, 5) for i in range(12)] + [(999, 3), (None, 2), (0, None), (1, 77)], "doc_id long, level int")
     model = reading.fit(docs, labels)
     got = {r.doc_id: (r.level, r.n_sentences) for r in reading.levels(docs, model).collect()}
     assert all(got[i][0] == 1 for i in range(12)) and all(got[100 + i][0] == 5 for i in range(12))
-    assert got[200] == got[201] == got[203] == (None, 0) and got[202] == (1, 20_000)
+    assert got[200] == got[201] == got[203] == got[204] == (None, 0) and got[202] == (1, 20_000)
     assert reading.fit(docs, labels.limit(0)) is None and reading.fit(docs.limit(0), labels) is None
     assert {r.level for r in reading.levels(docs, None).collect()} == {None}
