@@ -7,9 +7,12 @@ k with chance T(L, k). Labels fix the documents' levels of a bounded sample; dif
 are estimated in turn (each round one distributed pass over the sentences, whose sums per word reach the driver).
 Every document is then scored whole: its level is the one under which its sentences are most likely.
 
-Running sentences end with a sentence mark and consist mostly of words that the model knows. A text without any, or of
-which sentences make up less than half, has no level (null), so label lists, logs, blank and null texts have none. Repeated labels of a document are averaged; labels
-of unknown documents, null labels and labels outside 1 to 5 are ignored. Without usable labels no document has a level.
+Running sentences end with a sentence mark and consist mostly of words that the model knows. A text without any, or with
+more than LIST_LINES lines of a list or log to each, has no level (null), so label lists, logs, blank and null texts have
+none. A line without a sentence mark at its end counts as one of a list or log; the lines of a hard-wrapped passage (each
+goes on in lower case after an unfinished line) count as one. Lines are counted, not characters, so that a long quoted or
+leaked block takes no level away. Repeated labels of a document are averaged; labels of unknown documents, null labels and
+labels outside 1 to 5 are ignored. Without usable labels no document has a level.
 """
 
 from __future__ import annotations
@@ -34,11 +37,14 @@ LEAST_SENTENCES = 4
 ROUNDS = 8
 #: Part of a sentence's words that must be known.
 KNOWN = 0.5
-#: Part of a text's characters that its sentences must make up; a list or log that quotes a sentence stays one.
-RUNNING = 0.5
+#: Lines of a list or log to a running sentence, at most; a list or log that quotes a sentence stays one.
+LIST_LINES = 2
+#: A line of so many words can open a hard-wrapped passage; labels are shorter.
+PASSAGE_WORDS = 4
 _SPLIT = re.compile(r"(?<=[.!?])[\s]+|(?<=[。！？])(?![」』）)\"'])|(?<=[。！？][」』）)])|\n")
 _END = re.compile(r"[.!?。！？][\"'」』）)]*$")
 _TOKEN = re.compile(r"[^\W\d_ぁ-ヿ一-鿿]+|[ァ-ヺー]+|[ぁ-ゖ]+|[一-鿿々]+")
+_GOES_ON = re.compile(r"[\s>*#|•·–-]*(?:\d+\s+)?([^\W\d_ぁ-ヿ一-鿿])")
 _OPENING = re.compile(r"(?<=、)[ぁ-ゖ一-鿿々]{2,8}")
 
 
@@ -47,6 +53,20 @@ def sentences(text: str) -> list[str]:
     return [s for x in _SPLIT.split(text) if x and _END.search(s := x.rstrip())]
 
 
+def list_lines(text: str) -> int:
+    """Lines that end without a sentence mark, those of a hard-wrapped passage as one."""
+    n, passage = 0, False
+    for line in text.split("\n"):
+        pieces = [x for x in _SPLIT.split(line) if x and not x.isspace()]
+        if not pieces:
+            continue
+        goes_on = passage and (m := _GOES_ON.match(line)) is not None and m[1].islower()
+        unfinished = not _END.search(pieces[-1].rstrip())
+        n += unfinished and not (goes_on and len(pieces) == 1)
+        passage = unfinished and (goes_on or len(_TOKEN.findall(pieces[-1])) >= PASSAGE_WORDS)
+    return n
+
+
 def words(sentence: str) -> set[str]:
     """Words, and for text without blanks runs of one script and pairs of characters of the longer ones."""
     out = set(_TOKEN.findall(sentence.lower()))
@@ -72,17 +92,20 @@ class Model:
         """Level (0: none) and number of running sentences of each text."""
         doc, ids, starts = [], [], []
         for d, t in enumerate(texts):
-            found = sentences(t) if t else []
-            if sum(map(len, found)) < RUNNING * len((t or "").strip()):
-                continue
-            for s in found:
+            running = []
+            for s in sentences(t) if t else []:
                 w = words(s)
                 known = [i for x in w if (i := self.at.get(x)) is not None]
                 if w and len(known) >= KNOWN * len(w):
-                    doc.append(d)
-                    starts.append(len(ids))
-                    ids += known
-                    ids += [i for x in traits(s) if (i := self.at.get(x)) is not None]
+                    running.append((s, known))
+            most = LIST_LINES * len(running)
+            if not running or (t.count("\n") >= most and list_lines(t) > most):
+                continue
+            for s, known in running:
+                doc.append(d)
+                starts.append(len(ids))
+                ids += known
+                ids += [i for x in traits(s) if (i := self.at.get(x)) is not None]
         level, n = np.zeros(len(texts), np.int32), np.bincount(np.array(doc, np.int64), minlength=len(texts))
         if not doc:
             return level, n

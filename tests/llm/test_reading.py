@@ -1,5 +1,6 @@
 """Held-out accuracy of the levels, and defined results for odd texts."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from screenloom.llm import reading
@@ -37,3 +38,14 @@ def test_odd_texts_and_labels(spark):
     assert got[200] == got[201] == got[203] == got[204] == (None, 0) and got[202] == (1, 20_000)
     assert reading.fit(docs, labels.limit(0)) is None and reading.fit(docs.limit(0), labels) is None
     assert {r.level for r in reading.levels(docs, None).collect()} == {None}
+
+
+def test_long_leak_takes_no_level():
+    assert reading.list_lines("label\n" * 40) == 40
+    assert reading.list_lines("> If the weir floods at\n> past noon, name\n> the 3\n> boats. Who\n> asks\n\nHead\nOne two.") == 3
+    m = reading.Model(["the", "cat", "sees", "box"], np.zeros((4, 5)), np.zeros(5), np.eye(5) + 0.1)
+    prose = "The cat sees the box.\n" * 14
+    wrapped = "Name the drowsy glazier who\n" + "repaired every lock gate ahead of\n" * 60
+    joined = "Debe todavía 29 velas al campanario por prestadas plumas " * 40
+    level, n = m.score([prose, prose + wrapped, prose + joined, "Label\n" * 29 + prose, wrapped, "Label\n" * 28 + prose])
+    assert list(n) == [14, 14, 14, 0, 0, 14] and list(level > 0) == [True, True, True, False, False, True]
