@@ -26,9 +26,9 @@ def tree_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def anomalies(screens: DataFrame, reason: str) -> DataFrame:
-    """(id, file_reason, json): evidence of screens that look wrong."""
+    """(id, file_reason, json): evidence of screens that look wrong, with all words of their text."""
     safe = F.substring(F.regexp_replace(F.lit(reason), "[^A-Za-z0-9_-]", "_"), 1, 24)
-    return screens.select("id", safe.alias("file_reason"), F.to_json(F.struct("discovered_at", safe.alias("reason"), "title", F.slice(F.split(F.coalesce("ocr_text", F.lit("")), " "), 1, 20).alias("ocr"))).alias("json"))
+    return screens.select("id", safe.alias("file_reason"), F.to_json(F.struct("discovered_at", safe.alias("reason"), "title", F.split(F.coalesce("ocr_text", F.lit("")), " ").alias("ocr"))).alias("json"))
 
 
 def api_answer(rows: DataFrame, order: list, limit: int) -> DataFrame:

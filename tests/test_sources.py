@@ -76,3 +76,10 @@ def test_round_trip_through_summary(spark, tmp_path):
     assert writers.tidy_paths(chain).first().dest_path == "Home/a_b/abcdef12_a_b.png"
     tree = writers.tree_documents(spark.createDataFrame([("s", "f", "A", 0, None, None)], "session_id string, fingerprint string, title string, depth int, phash string, discovered_at string"), spark.createDataFrame([], "session_id string, src string, dst string")).first()
     assert json.loads(tree.json) == {"session_id": "s", "nodes": {"f": {"title": "A", "depth": 0}}, "edges": []}
+
+
+def test_anomaly_keeps_all_words(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    screens = spark.createDataFrame([(1, "t", None, text), (2, "t", "", None)], "id long, discovered_at string, title string, ocr_text string")
+    got = {r.id: json.loads(r.json) for r in writers.anomalies(screens, "no text: check!").collect()}
+    assert got[1]["ocr"] == text.split(" ") and got[2]["ocr"] == [""]
