@@ -83,10 +83,11 @@ class History:
     def _stored(self, new: DataFrame) -> DataFrame:
         return new.select(F.explode(similarity.stored_keys("h")).alias("key"), "scope", "h", "nid", "title", "fp", F.col("batch").alias("first_batch"))
 
-    def accept(self, new: DataFrame, clusters: bool = False, several: bool = False) -> DataFrame:
+    def accept(self, new: DataFrame, clusters: bool = False, several: bool = False, within: bool = False) -> DataFrame:
         """Link a delivery of records with what came in earlier batches and store it; returns its links (distance below
         COMPARED_BITS). several: the delivery holds more than one batch, which are then held against each other, too.
-        clusters: bring the representatives up to date."""
+        clusters: bring the representatives up to date, by the links across batches. within: also by links inside a batch,
+        which are kept apart from the links returned."""
         n = len(self.linked)
         at, stored_at = f"{self.path}/links-{n}", f"{self.path}/blocks-{n}"
         own = self._stored(new)
@@ -111,7 +112,12 @@ class History:
         own.join(known.withColumnRenamed("batch", "first_batch"), ["scope", "h", "first_batch"], "left_anti").select([c.split()[0] for c in _BLOCKS.split(", ")]).write.parquet(stored_at)
         self.blocks.append(stored_at)
         if clusters:
-            self._merge(new, links)
+            match = links.where(F.col("distance") < self.below).select("nid", "old")
+            if within:
+                mates = own.select("key", "scope", F.col("first_batch").alias("batch"), F.col("h").alias("other"), F.col("nid").alias("old"))
+                inside = join(asked.select("key", "scope", "batch", "h", "nid"), mates, ["key", "scope", "batch"])
+                match = match.unionByName(inside.where((F.col("h") < F.col("other")) & (distance < self.below)).select("nid", "old").distinct())
+            self._merge(new, match)
         return links
 
     def scored(self) -> DataFrame:
@@ -122,11 +128,11 @@ class History:
         weight = F.create_map(*[F.lit(x) for kv in self.weights.items() for x in kv])
         return links.withColumn("score", F.element_at(weight, F.col("pattern")))
 
-    def _merge(self, new: DataFrame, links: DataFrame) -> None:
-        """Union-find over what this delivery touches: new records and the representatives of clusters they link to."""
+    def _merge(self, new: DataFrame, match: DataFrame) -> None:
+        """Union-find over what this delivery touches: new records and the representatives of clusters they link to.
+        match: nid, old."""
         reps = self.reps if self.reps is not None else self.spark.createDataFrame([], "nid long, rep long")
         fresh = new.groupBy("scope", "h").agg(F.min_by("nid", "batch").alias("nid")).select("nid")
-        match = links.where(F.col("distance") < self.below).select("nid", "old")
         of_old = match.join(reps.withColumnRenamed("nid", "old"), "old", "left").select("nid", F.coalesce("rep", "old").alias("rep"))
         found = components.components(of_old.select(F.col("nid").alias("src"), F.col("rep").alias("dst")))
         moved = found.select(F.col("node").alias("rep"), F.col("component").alias("to"))

@@ -19,7 +19,7 @@ def screens_of_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screens.join(sessions, "session_id").drop("session_id")
 
 
-def _replay(spark: SparkSession, rows: DataFrame, deliveries: int | None = None, clusters: bool = False) -> history.History:
+def _replay(spark: SparkSession, rows: DataFrame, deliveries: int | None = None, clusters: bool = False, within: bool = False) -> history.History:
     """Accept all batches, in order: one by one, or in the given number of deliveries of several batches."""
     path = shared_path(spark, "records")
     history.records(rows).repartition("batch", F.pmod(F.xxhash64("h"), F.lit(4))).write.partitionBy("batch").parquet(path)
@@ -29,7 +29,7 @@ def _replay(spark: SparkSession, rows: DataFrame, deliveries: int | None = None,
     past = history.History(spark)
     for i in range(0, len(batches), size):
         part = batches[i : i + size]
-        past.accept(new.where(F.col("batch").between(part[0], part[-1])), clusters=clusters, several=len(part) > 1)
+        past.accept(new.where(F.col("batch").between(part[0], part[-1])), clusters=clusters, several=len(part) > 1, within=within)
     return past
 
 
@@ -48,9 +48,10 @@ def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, cluster_id) of every screen with a game and a valid hash, after three deliveries of several batches each."""
+    """(id, cluster_id) of every screen with a game and a valid hash, after three deliveries of several batches each;
+    links inside a batch count, too."""
     rows = checkpoint(screens_of_games(spark, sf_dir)).withColumn("h", similarity.bits_of("phash")).where("h is not null")
-    past = _replay(spark, rows, deliveries=3, clusters=True)
+    past = _replay(spark, rows, deliveries=3, clusters=True, within=True)
     if past.reps is None:
         return spark.createDataFrame([], "id long, cluster_id long")
     first = rows.groupBy("scope", "h").agg(F.min_by(F.struct(F.col("id")), F.struct("batch", "id")).alias("f")).select("scope", "h", F.col("f.id").alias("nid"))

@@ -61,3 +61,16 @@ def test_weights_rise_with_agreement():
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, batch int, scope string, phash string, title string, fingerprint string")
     assert history_queries._replay(spark, df).scored().count() == 0
+
+
+def test_clusters_inside_a_batch(spark):
+    hs = [0, 0b11, 0b11110011, (1 << 64) - 1, (1 << 64) - 2, 0xF0F0F0F0F0F0F0F0]
+    rows = [(i, b, "x", f"{h:016x}", "t", "f") for i, (b, h) in enumerate(zip([1, 1, 1, 1, 2, 2], hs))] + [(6, 2, "x", f"{0x00000F0F0F000F01:016x}", "t", "f"), (7, 2, "x", f"{0x00000F0F0F000F00:016x}", "t", "f"), (8, 1, "y", f"{0:016x}", "t", "f")]
+    df = spark.createDataFrame(rows, "id long, batch int, scope string, phash string, title string, fingerprint string")
+    for deliveries in (None, 1):
+        past = history_queries._replay(spark, df, deliveries=deliveries, clusters=True, within=True)
+        by = {}
+        for r in past.reps.collect():
+            by.setdefault(r.rep, set()).add(r.nid)
+        assert {frozenset(x) for x in by.values()} == {frozenset(x) for x in ({0, 1, 2}, {3, 4}, {5}, {6, 7}, {8})}
+        assert {(r.nid, r.old) for r in past.scored().where("distance < 8").collect()} == {(4, 3)}
