@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint, salt_of
+from ..session import checkpoint
 
 
 def fold_visits(events: DataFrame, keys: list[str], name: str, ts: str, row: str) -> DataFrame:
@@ -120,4 +120,4 @@ def nms(boxes: DataFrame, keys: list[str], limit: float = 0.4) -> DataFrame:
 
 def nth_rows(df: DataFrame, key: Column, n: int) -> DataFrame:
     """A repeatable sample of one row in n by key."""
-    return df.where(salt_of(n, key) == 0)
+    return df.where(F.pmod(F.xxhash64(key), F.lit(n)) == 0)

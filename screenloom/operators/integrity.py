@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import all_salts, salt_of
+from ..session import hot_join
 
 #: Stands for a period that is not known.
 END_OF_TIME = 2**62
@@ -45,16 +45,15 @@ def _orphan_keys(refs: DataFrame, names: list[str], targets: DataFrame, pk: list
     return distinct.join(first, same & (first["t_p"] <= distinct["_p"]), "left_anti")
 
 
-def orphans(children: DataFrame, row_id: str, fk: list[str], batch: str, targets: DataFrame, pk: list[str], target_batch: str, *, blank_is_null: tuple[str, ...] = (), salts: int = 8) -> DataFrame:
+def orphans(children: DataFrame, row_id: str, fk: list[str], batch: str, targets: DataFrame, pk: list[str], target_batch: str, *, blank_is_null: tuple[str, ...] = ()) -> DataFrame:
     """(id, import_batch) of the child rows whose key no target has that arrived in or before the row's own period.
 
-    Distinct keys are anti-joined with the targets' distinct keys; the orphan keys are joined back to the rows. In that
-    second join rows of one key go to `salts` tasks, so that a hot orphan key is split.
+    Distinct keys are anti-joined with the targets' distinct keys; the orphan keys are joined back to the rows, those of
+    a hot key in pieces by its counted size.
     """
     refs, names = _keys(children.withColumns({"_batch": F.col(batch), "_id": F.col(row_id)}), fk, blank_is_null)
-    keys = _orphan_keys(refs, names, targets, pk, target_batch).drop("n_rows").select("*", all_salts(salts).alias("_salt"))
-    rows = refs.withColumn("_salt", salt_of(salts, "_id"))
-    return rows.join(keys, [*names, "_p", "_salt"], "left_semi").select(F.col("_id").alias("id"), F.col("_batch").cast("long").alias("import_batch"))
+    keys = _orphan_keys(refs, names, targets, pk, target_batch).drop("n_rows")
+    return hot_join(refs, keys, [*names, "_p"], "left_semi").select(F.col("_id").alias("id"), F.col("_batch").cast("long").alias("import_batch"))
 
 
 def orphan_report(children: DataFrame, row_id: str, fk: list[str], batch: str, targets: DataFrame, pk: list[str], target_batch: str, *, blank_is_null: tuple[str, ...] = ()) -> DataFrame:

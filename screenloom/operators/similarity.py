@@ -1,9 +1,10 @@
 """64-bit perceptual hashes: exact joins by Hamming distance.
 
-Distance below t: the 64 bits are cut in bands, and of t-1 differing bits some band has at most (t-1) // bands. One side
-is stored under each band's value, the other asks for each value within that radius. More bands mean fewer questions but
-fuller buckets, so the number of bands is chosen by the expected rows for the number of hashes; any choice is exact.
-Rows of a hot key are split over tasks (split_join).
+Distance below t: the 64 bits are cut in m bands of about 64/m bits, and each band i gets a radius r_i so that the
+r_i + 1 sum up to t. Were every band to differ in more than r_i bits, there would be t differing bits or more; so some
+band lies within its radius. One side is stored under each band's value, the other asks for each value within the
+radius. More bands mean fewer questions but fuller buckets, so the number of bands is chosen by the expected rows for
+the number of hashes; any choice is exact. Rows of a hot key are split over tasks (split_join).
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 
 from ..session import split_join
 
-#: Bands that may be chosen, and the number used where keys are kept (they must not change with the size).
-CHOICES, BANDS = (8, 4, 2), 4
+#: Bands used where keys are kept (they must not change with the size).
+BANDS = 4
+#: Questions a hash, at most.
+MOST_MASKS = 50_000
 
 
 def bits_of(phash: str | Column) -> Column:
@@ -32,27 +35,37 @@ def hamming(a: str | Column, b: str | Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 
 
+def _cuts(bands: int) -> list[tuple[int, int]]:
+    """First bit and width of each band."""
+    at = [64 * i // bands for i in range(bands + 1)]
+    return [(a, b - a) for a, b in zip(at, at[1:])]
+
+
+def _radii(bands: int, below: int) -> list[int]:
+    """Radius of each band, -1 where a band needn't be asked: the radii + 1 sum up to `below`."""
+    return [below // bands + (i < below % bands) - 1 for i in range(bands)]
+
+
 def _key(h: Column, i: int, bands: int) -> Column:
     """Band number and value in one number."""
-    bits = 64 // bands
-    value = F.shiftrightunsigned(h, i * bits).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(i << bits)
-    return value.cast("int") if bits <= 16 else value.cast("long")
+    at, width = _cuts(bands)[i]
+    return F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(i << width).cast("long")
 
 
-def _masks(bands: int, below: int) -> list[int]:
+def _masks(width: int, radius: int) -> list[int]:
     """Differences of a band within the radius."""
-    bits = 64 // bands
-    return [sum(1 << b for b in c) for r in range((below - 1) // bands + 1) for c in combinations(range(bits), r)]
+    return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(width), r)]
 
 
 def bands_for(n: int, below: int) -> int:
-    """The choice of fewest expected rows, questions and candidates, for n hashes a side."""
+    """The number of bands of fewest expected rows, questions and candidates, for n hashes a side. Numbers whose
+    questions would make a plan of over MOST_MASKS constants aren't taken."""
 
     def rows(bands: int) -> float:
-        asked = bands * sum(math.comb(64 // bands, r) for r in range((below - 1) // bands + 1))
-        return n * asked + n * n * asked / 2.0 ** (64 // bands) + (float("inf") if asked > 12_000 else 0)
+        asked = [sum(math.comb(w, k) for k in range(r + 1)) for (_, w), r in zip(_cuts(bands), _radii(bands, below))]
+        return n * sum(asked) + n * n * sum(a / 2.0**w for a, (_, w) in zip(asked, _cuts(bands))) + (0 if sum(asked) <= MOST_MASKS else 1e300)
 
-    return min(CHOICES, key=rows)
+    return min(range(2, 17), key=rows)
 
 
 def stored_keys(h: str, bands: int = BANDS) -> Column:
@@ -62,12 +75,12 @@ def stored_keys(h: str, bands: int = BANDS) -> Column:
 
 def asked_keys(h: str, below: int, bands: int = BANDS) -> Column:
     """Keys at which every hash at a distance below `below` is stored in at least one."""
-    flips = F.array(*[F.lit(m) for m in _masks(bands, below)])
 
     def around(i: int) -> Column:
+        flips = F.array(*[F.lit(m).cast("long") for m in _masks(_cuts(bands)[i][1], _radii(bands, below)[i])])
         return F.transform(flips, lambda m: _key(F.col(h), i, bands).bitwiseXOR(m))
 
-    return F.flatten(F.array(*[around(i) for i in range(bands)]))
+    return F.flatten(F.array(*[around(i) for i in range(bands) if _radii(bands, below)[i] >= 0]))
 
 
 def _near(left: DataFrame, right: DataFrame, below: int, bands: int | None) -> DataFrame:

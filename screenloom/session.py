@@ -44,51 +44,105 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def salt_of(salts: int, *cols: str | Column) -> Column:
-    """A salt in [0, salts) from the given columns: the same row gets the same salt when a task is run again."""
-    return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
+#: Rows of one key that a task takes without more ado, and keys that can be hot at once (see _hot).
+HOT_ROWS, MOST_HOT = 100_000, 10_000
 
 
-def all_salts(salts: int) -> Column:
-    """Every salt, for the side of a join that is repeated."""
-    return F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+def _hot(sides: list[DataFrame], keys: list[str], per_task: int) -> DataFrame | None:
+    """(keys, _p0, _p1...): into how many pieces each side cuts its rows of a hot key; None if no key is hot.
+
+    Hot are all keys of more than per_task rows of a side, or more than one MOST_HOT-th of its rows if that is more: a
+    share of which there can't be more than MOST_HOT, so the table is of bounded size however large the sides are.
+    """
+    counts = [df.groupBy(*keys).agg(F.count("*").alias("_n")) for df in sides]
+    sums = None
+    for i, c in enumerate(counts):
+        one = c.agg(F.lit(i).alias("i"), F.max("_n").alias("most"), F.sum("_n").alias("total"))
+        sums = one if sums is None else sums.unionByName(one)
+    seen = {r.i: (r.most or 0, r.total or 0) for r in sums.collect()}
+    if all(most <= per_task for most, _ in seen.values()):
+        return None
+    out = None
+    for i, c in enumerate(counts):
+        least = max(per_task, seen[i][1] // MOST_HOT)
+        part = c.where(F.col("_n") > least).select(*keys, F.ceil(F.col("_n") / per_task).cast("int").alias(f"_p{i}"))
+        out = part if out is None else out.join(part, keys, "full")
+    found = out.dropna(subset=keys).collect()  # at most MOST_HOT a side
+    return F.broadcast(sides[0].sparkSession.createDataFrame(found, out.schema)) if found else None
+
+
+def _pieces(n: str) -> Column:
+    return F.coalesce(F.col(n), F.lit(1))
 
 
-#: Rows of one key that a task takes without more ado.
-HOT_ROWS = 100_000
+def _here(df: DataFrame, n: Column) -> Column:
+    """A piece for each row, the same when a task is run again. Maps can't be hashed and don't take part."""
+    return F.pmod(F.xxhash64(*[f.name for f in df.schema.fields if f.dataType.typeName() != "map"]), n).cast("int")
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: int = 256) -> DataFrame:
-    """left joined with right, whose keys are unique, without gathering a hot key's rows of left in one task.
+def _everywhere(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
 
-    The `share` most frequent keys of over HOT_ROWS rows are found by counting; their rows meet a broadcast of at most
-    `share` rows of right, all others a shuffled join. how: inner or left.
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """left joined with right, whose keys are unique, without gathering a hot key's rows of left in one task: they are
+    cut in pieces, and the row of right goes to each piece.
+
+    counted: a frame with the keys and as many rows as left that is cheaper to count. how: inner, left, left_semi or
+    left_anti. Rows of left with a null key meet nothing; where they are hot, they are spread, too.
     """
-    counts = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS)
-    hot = [r.asDict() for r in counts.orderBy(F.desc("_n")).limit(share).drop("_n").collect()]
-    hot = [h for h in hot if all(v is not None for v in h.values())]
-    if not hot:
+    hot = _hot([counted if counted is not None else left], keys, HOT_ROWS)
+    if hot is None:
         return left.join(right, keys, how)
-    few = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(*keys).schema))
-    return left.join(few, keys, "left_anti").join(right, keys, how).unionByName(left.join(few, keys, "left_semi").join(F.broadcast(right.join(few, keys, "left_semi")), keys, how))
+    none = F.lit(False)
+    for k in keys:
+        none = none | F.col(k).isNull()
+    a = left.join(hot, keys, "left").select(*left.columns, _here(left, F.when(none, 1000).otherwise(_pieces("_p0"))).alias("_salt"))
+    b = right.join(hot, keys, "left").select(*right.columns, _everywhere(_pieces("_p0")).alias("_salt"))
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")
 
 
-def split_join(left: DataFrame, right: DataFrame, keys: list[str], per_task: int = 5_000, share: int = 1_000) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], per_task: int = 5_000) -> DataFrame:
     """Inner join of two sides that may both have hot keys. The rows of a hot key are laid out as a grid: each side is
-    cut in pieces of about per_task rows, and every pair of pieces meets in a task of its own.
-
-    Hot are the `share` most frequent keys that hold over per_task rows of a side; they are broadcast.
-    """
-    nl, nr = (df.groupBy(*keys).agg(F.count("*").alias(n)).where(F.col(n) > per_task) for df, n in ((left, "_l"), (right, "_r")))
-    most = F.greatest(F.coalesce("_l", F.lit(0)), F.coalesce("_r", F.lit(0)))
-    pieces = lambda n: F.ceil(F.coalesce(n, F.lit(1)) / per_task).cast("int")
-    found = nl.join(nr, keys, "full").select(*keys, pieces("_l").alias("_nl"), pieces("_r").alias("_nr"), most.alias("_n")).orderBy(F.desc("_n")).limit(share).drop("_n").collect()
-    if not found:
+    cut in pieces of about per_task rows, and every pair of pieces meets in a task of its own."""
+    hot = _hot([left.select(*keys), right.select(*keys)], keys, per_task)
+    if hot is None:
         return left.join(right, keys)
-    hot = F.broadcast(left.sparkSession.createDataFrame(found))
-    one = F.coalesce(F.col("_nl"), F.lit(1)), F.coalesce(F.col("_nr"), F.lit(1))
-    here = lambda df, n: F.pmod(F.xxhash64(*df.columns), n).cast("int")
-    there = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    a = left.join(hot, keys, "left").select(*left.columns, here(left, one[0]).alias("_sl"), there(one[1]).alias("_sr"))
-    b = right.join(hot, keys, "left").select(*right.columns, here(right, one[1]).alias("_sr"), there(one[0]).alias("_sl"))
+    one = _pieces("_p0"), _pieces("_p1")
+    a = left.join(hot, keys, "left").select(*left.columns, _here(left, one[0]).alias("_sl"), _everywhere(one[1]).alias("_sr"))
+    b = right.join(hot, keys, "left").select(*right.columns, _here(right, one[1]).alias("_sr"), _everywhere(one[0]).alias("_sl"))
     return a.join(b, [*keys, "_sl", "_sr"]).drop("_sl", "_sr")
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """A file or folder of the shared folder, deleted with all in it."""
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, there whole or not at all."""
+    fs, where = _file_system(spark, path)
+    half = spark._jvm.org.apache.hadoop.fs.Path(path + ".half")
+    out = fs.create(half, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(where, False)
+    if not fs.rename(half, where):
+        raise OSError(f"can't write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None if there is no such file."""
+    fs, where = _file_system(spark, path)
+    if not fs.exists(where):
+        return None
+    file = fs.open(where)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+    file.close()
+    return text

@@ -19,7 +19,7 @@ def near_hashes(g, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("below", "bands"), [(1, None), (5, 2), (8, None), (8, 4), (8, 2), (10, None), (16, None)])
+@pytest.mark.parametrize(("below", "bands"), [(1, None), (5, 2), (8, None), (8, 3), (8, 4), (8, 5), (8, 7), (10, None), (16, None), (16, 6)])
 def test_pairs_equal_brute_force(spark, below, bands):
     hs = near_hashes(random.Random(below), 60)
     want = {(min(SIGNED(a), SIGNED(b)), max(SIGNED(a), SIGNED(b))) for i, a in enumerate(hs) for b in hs[:i] if (a ^ b).bit_count() < below}
@@ -37,14 +37,14 @@ def test_hot_bucket_is_split(spark, monkeypatch):
 
     g = random.Random(5)
     hs = [g.getrandbits(48) for _ in range(300)] + [x ^ 3 for x in range(50)]
-    monkeypatch.setattr(similarity, "split_join", lambda a, b, k: session.split_join(a, b, k, per_task=20, share=50))
+    monkeypatch.setattr(similarity, "split_join", lambda a, b, k: session.split_join(a, b, k, per_task=20))
     want = {(min(a, b), max(a, b)) for i, a in enumerate(set(hs)) for b in list(set(hs))[:i] if (a ^ b).bit_count() < 8}
     got = similarity.hamming_pairs(spark.createDataFrame([(h,) for h in hs], "h long"), 8)
     assert {(r.a, r.b) for r in got.collect()} == want
 
 
 def test_bands_follow_the_number_of_hashes():
-    assert [similarity.bands_for(n, 8) for n in (100, 200_000, 10**9)] == [8, 4, 2]
+    assert [similarity.bands_for(n, 8) for n in (100, 2_000, 200_000, 10**7, 10**10)] == [8, 5, 4, 3, 2]
 
 
 def brute(edges):
@@ -56,10 +56,10 @@ def brute(edges):
     return {x: find(x) for x in up}
 
 
-@pytest.mark.parametrize("many", [False, True])
-def test_components(spark, monkeypatch, many):
-    if many:
-        monkeypatch.setattr(components, "FEW", 0)
+@pytest.mark.parametrize("few", [components.FEW, 100, 0])
+def test_components(spark, monkeypatch, few):
+    """In one task at once, after some rounds, and by rounds alone."""
+    monkeypatch.setattr(components, "FEW", few)
     g = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 180)] + [(500, 500 + i) for i in range(1, 60)] + [(g.randrange(1000, 1200), g.randrange(1000, 1200)) for _ in range(90)] + [(7, 7), (9, 8), (8, 9)]
     df = spark.createDataFrame([*edges, (None, 1), (1, None)], "src long, dst long")
