@@ -43,9 +43,11 @@ def first_root(node_table: DataFrame, scope: str, fp: str, parent: str, pos: str
 
 
 def title_chain(placed: DataFrame, titles: DataFrame) -> DataFrame:
-    """(scope, node, chain): titles from the root down to each node of a tree, joined by / (G6). placed: of hierarchy()."""
-    steps = placed.where("path is not null").select("scope", "node", F.posexplode(F.split("path", "/")).alias("at", "step"))
-    return hot_join(steps, titles.select("scope", F.col("node").alias("step"), "title"), ["scope", "step"]).groupBy("scope", "node").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "title"))), lambda x: x["title"]), "/").alias("chain"))
+    """(scope, node, chain): array of the titles from the root down to each node of a tree (G6). placed: of hierarchy();
+    titles: one row per scope and node; a null title reads as ''."""
+    steps = placed.where("path is not null").select("scope", "node", F.posexplode("path").alias("at", "step"))
+    named = hot_join(steps, titles.select("scope", F.col("node").alias("step"), F.coalesce("title", F.lit("")).alias("title")), ["scope", "step"])
+    return named.groupBy("scope", "node").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "title"))), lambda x: x["title"]).alias("chain"))
 
 
 def children(edge_table: DataFrame, node_table: DataFrame, scope: str, fp: str, pos: str) -> DataFrame:
@@ -66,7 +68,7 @@ def recipes(placed: DataFrame, taps: DataFrame, items: DataFrame) -> DataFrame:
     """
     step = taps.groupBy("scope", "parent", "child").agg(F.min_by("text", F.struct("seq", "text")).alias("text"))
     usable = step.join(items.select("scope", F.col("node").alias("parent"), "text").distinct(), ["scope", "parent", "text"], "left_semi")
-    path = F.split("path", "/")
+    path = F.col("path")
     pairs = placed.where("depth > 0").select("scope", "node", "depth", F.posexplode(F.zip_with(F.slice(path, F.lit(1), F.size(path) - 1), F.slice(path, F.lit(2), F.size(path) - 1), lambda a, b: F.struct(a.alias("parent"), b.alias("child")))).alias("at", "e"))
     found = pairs.select("scope", "node", "depth", "at", "e.parent", "e.child").join(usable, ["scope", "parent", "child"], "left")
     return found.groupBy("scope", "node").agg(F.when(F.count("text") == F.max("depth"), F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda x: x["text"])).alias("recipe"))
@@ -123,7 +125,7 @@ def tree_lines(placed: DataFrame, shown: DataFrame) -> DataFrame:
     """(scope, line_no, line): the trees of each scope in pre-order, indented by depth (G8-G10). placed: of hierarchy();
     shown: scope, node, pos, title, n_items. Nodes on or below a cycle are no part of a tree."""
     t = placed.where("path is not null").select("scope", "node", "depth", "path").join(shown, ["scope", "node"])
-    steps = t.select("scope", "node", F.posexplode(F.split("path", "/")).alias("at", "step"))
+    steps = t.select("scope", "node", F.posexplode("path").alias("at", "step"))
     keys = hot_join(steps, shown.select("scope", F.col("node").alias("step"), "pos"), ["scope", "step"]).groupBy("scope", "node").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "pos"))), lambda x: x["pos"]).alias("key"))
     title = F.when(F.col("title") == "unknown", "❓ unknown").otherwise(F.coalesce("title", F.lit("")))
     warn = F.when(F.col("title") == "unknown", "  ← unknown").when((F.col("n_items") <= 1) & (F.col("depth") > 0), "  ⚠ few items").otherwise("")

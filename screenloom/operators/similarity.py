@@ -77,7 +77,8 @@ def asked_keys(h: str, below: int, bands: int = BANDS) -> Column:
     """Keys at which every hash at a distance below `below` is stored in at least one."""
 
     def around(i: int) -> Column:
-        flips = F.array(*[F.lit(m).cast("long") for m in _masks(_cuts(bands)[i][1], _radii(bands, below)[i])])
+        # one constant, not thousands of expressions
+        flips = F.split(F.lit(",".join(map(str, _masks(_cuts(bands)[i][1], _radii(bands, below)[i])))), ",").cast("array<bigint>")
         return F.transform(flips, lambda m: _key(F.col(h), i, bands).bitwiseXOR(m))
 
     return F.flatten(F.array(*[around(i) for i in range(bands) if _radii(bands, below)[i] >= 0]))
@@ -85,7 +86,7 @@ def asked_keys(h: str, below: int, bands: int = BANDS) -> Column:
 
 def _near(left: DataFrame, right: DataFrame, below: int, bands: int | None) -> DataFrame:
     """(lh, rh) candidates: columns lh and rh hold distinct hashes."""
-    bands = bands or bands_for(max(left.count(), right.count()), below)
+    bands = bands or bands_for(max(1, left.count(), right.count()), below)
     stored = right.select(F.explode(stored_keys("rh", bands)).alias("key"), "rh")
     asked = left.select(F.explode(asked_keys("lh", below, bands)).alias("key"), "lh")
     return split_join(asked, stored, ["key"])

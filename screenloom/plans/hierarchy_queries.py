@@ -9,20 +9,20 @@ from ..operators import hierarchy
 from ..session import table
 
 
-def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _placed(spark: SparkSession, sf_dir: str, with_paths: bool = True) -> DataFrame:
     screens = table(spark, sf_dir, "lc_screens")
-    return hierarchy.hierarchy(hierarchy.nodes(screens, "session_id", "fingerprint", "parent_fp", "depth", "id"))
+    return hierarchy.hierarchy(hierarchy.nodes(screens, "session_id", "fingerprint", "parent_fp", "depth", "id"), with_paths=with_paths)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = _placed(spark, sf_dir)
+    placed = _placed(spark, sf_dir, with_paths=False)
     wrong = (F.col("status") == hierarchy.TREE) & ~F.col("root_linked") & (F.col("stored_depth") != F.col("depth"))
     finding = F.when(F.col("status") != hierarchy.TREE, F.col("status")).when(wrong, F.lit("wrong_depth"))
     return placed.select(F.col("scope").alias("session_id"), F.col("node").alias("fingerprint"), finding.alias("finding")).where("finding is not null")
 
 
 def p3_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _placed(spark, sf_dir).select(F.col("scope").alias("session_id"), F.col("node").alias("fingerprint"), "status", F.col("root").alias("root_fp"), F.coalesce(F.col("depth").cast("long"), F.lit(-1)).alias("tree_depth"), "path", F.coalesce("n_descendants", F.lit(-1)).alias("n_descendants"))
+    return _placed(spark, sf_dir).select(F.col("scope").alias("session_id"), F.col("node").alias("fingerprint"), "status", F.col("root").alias("root_fp"), F.coalesce(F.col("depth").cast("long"), F.lit(-1)).alias("tree_depth"), F.array_join("path", "/").alias("path"), F.coalesce("n_descendants", F.lit(-1)).alias("n_descendants"))
 
 
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,8 +77,8 @@ def anomaly_json(spark: SparkSession, d: str) -> DataFrame:
 def tidy_paths(spark: SparkSession, d: str) -> DataFrame:
     from .structure_queries import _nodes, _placed
 
-    titles = _nodes(spark, d).select(F.col("session_id").alias("scope"), F.col("fingerprint").alias("node"), F.translate(F.coalesce("title", F.lit("unknown")), "/", "_").alias("title"))
-    chains = graph.title_chain(_placed(spark, d), titles).withColumn("chain", F.split("chain", "/"))
+    titles = _nodes(spark, d).select(F.col("session_id").alias("scope"), F.col("fingerprint").alias("node"), F.coalesce("title", F.lit("unknown")).alias("title"))
+    chains = graph.title_chain(_placed(spark, d), titles)
     return writers.tidy_paths(chains).select(F.col("scope").alias("session_id"), F.col("node").alias("fingerprint"), "dest_path")
 
 

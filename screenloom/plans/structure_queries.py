@@ -111,7 +111,7 @@ UNION ALL SELECT n.session_id, n.fingerprint, t.path || '/' || n.fingerprint, t.
 def graph_paths(spark, d):
     placed = _placed(spark, d).select("scope", "node", "path")
     titles = _nodes(spark, d).select(F.col("session_id").alias("scope"), F.col("fingerprint").alias("node"), F.coalesce("title", F.lit("")).alias("title"))
-    return placed.join(graph.title_chain(placed, titles), ["scope", "node"]).select(F.col("scope").alias("session_id"), F.col("node").alias("fingerprint"), "path", "chain")
+    return placed.join(graph.title_chain(placed, titles), ["scope", "node"]).select(F.col("scope").alias("session_id"), F.col("node").alias("fingerprint"), F.array_join("path", "/").alias("path"), F.array_join("chain", "/").alias("chain"))
 
 
 @query(_N + "SELECT e.session_id, e.src, string_agg(e.dst, ',' ORDER BY n.id) AS children FROM e JOIN n ON n.session_id = e.session_id AND n.fingerprint = e.dst GROUP BY ALL")
