@@ -29,12 +29,12 @@ def brute(text):
         for k in range(3):
             for i, s in zip(word, of):
                 row = LAT.get(chars[i]) or CYR.get(chars[i]) or GRE.get(chars[i])
-                score[k] += 1 if s == k else 0 if row and row[k] != "." else -1_000_000
+                score[k] += 1 if s == k else 0 if row and row[k] in pf.EVERYDAY[k] else -1_000_000
             score[k] = score[k] if k in of else -(10**18)
         to = score.index(max(score))
         for i in word:
             row = LAT.get(chars[i]) or CYR.get(chars[i]) or GRE.get(chars[i])
-            if row and row[to] != ".":
+            if row and row[to] in pf.EVERYDAY[to]:
                 out[i] = row[to]
         word.clear()
 
@@ -59,6 +59,7 @@ def brute(text):
 CASES = {
     "Ｌｖ１２": "Lv12", "ｶﾞｲﾄﾞ": "ガイド", "Café": "Café", "a​b­c": "abc", "x y　z": "x y z", "Rеwіnd": "Rewind", "Caд": "Саd"[:0] + "Сад", "ΗΡ": "ΗΡ", "Nаһаѕ": "Nahas", "Лepy": "Леру", "ﬁle": "file", "Ⅲ": "III",
     "ペッ卜": "ペット", "一覧": "一覧", "アイテム一覧": "アイテム一覧", "メニュ一": "メニュー", "入口一覧": "入口一覧", "ガイ卜゙": "ガイド", "工房": "工房", "工リア": "エリア", "二人確認": "二人確認", "x²": "x²", "": "", "plain": "plain",
+    "ӏove": "love", "ҮES": "YES", "pϳ": "pj", "ϲat": "cat", "Ϲat": "Cat", "hүper": "hyper", "loveж": "loveж", "ϲας": "ςας", "𝐚д": "ад", "12ｱ・Ｂ、ガ゙": "12ア・B、ガ゙",
     "q̣̇": "q̣̇", "q̣̇": "q̣̇", "한": "한", "́a": "́a", "ệ": "ệ", "´": "´", "й": "й", "😀ａ": "😀a", "á́": "á́", "Ångström": "Ångström",
 }
 
@@ -73,6 +74,11 @@ def test_cases(spark):
     assert got == CASES | {None: None}
 
 
+def test_tokens_that_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(pf, "BROADCAST_TOKENS", 0)
+    assert forms(spark, [*CASES, None]) == CASES | {None: None}
+
+
 def test_random_against_brute_force(spark):
     g = random.Random(3)
     pool = "aeopcxyABEHKMT аеорсухАВЕКМН ονΑΒ一二八力口工卜夕アカガトーのを覧方ｶﾞﾄﾟ１Ａ゙゚̣́̈​­　 ﬁⅡ12-"
