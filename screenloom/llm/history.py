@@ -1,11 +1,18 @@
 """Deduplicating new batches against all history (problem 5), by incremental record linkage.
 
-What was accepted lives in tables in the shared folder: blocking keys (scope and a 16-bit band of the hash, see
-operators/similarity.py) with the records stored under them, links, and the representative of every record's cluster.
-A new batch probes the blocking keys; each candidate pair is compared field by field and scored with weights learned by
-expectation maximisation over the counts of all comparison patterns so far (patterns are few, so only their counts
-reach the driver); then records not yet known are stored, and clusters that a link touches get their representatives
-anew. No step reads the history's own rows again, and none compares two old records.
+What was accepted lives in tables under a named folder in the shared folder, which any later process can open again:
+blocking keys (scope and a 16-bit band of the hash, see operators/similarity.py) with the records stored under them,
+links, and the union-find mapping of records to the representatives of their clusters. state.json names the finished
+deliveries, the counts of comparison patterns and the learned weights; what a delivery wrote before it broke off is
+written anew when it is accepted again.
+
+A new batch probes the blocking keys: blocks lie in folders by a hash of scope and key, and only the folders that the
+batch asks for are read. Runs of blocks of like size are merged, so that there are few of them however many batches came
+(each record is rewritten as often as the logarithm of the number of batches). Each candidate pair is compared field by
+field and scored with weights learned by expectation maximisation over the counts of all comparison patterns so far
+(patterns are few, so only their counts reach the driver). A record's match is its best-scored candidate at a distance
+below BELOW_BITS; the record joins the cluster of that match's representative, and clusters that a record links to one
+another are merged: only mapping rows of records that arrive and of representatives that are absorbed are written.
 
 Records are the distinct (scope, hash) of a batch. Null scopes and hashes that aren't 16 hex digits are no case. A
 repeated row is one record. An empty batch changes nothing. Batches are accepted in rising order.
@@ -13,21 +20,23 @@ repeated row is one record. An empty batch changes nothing. Batches are accepted
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import components, similarity
-from ..session import checkpoint, shared_path, split_join
+from ..session import checkpoint, read_text, remove, shared_dir, split_join, write_text
 
 BELOW_BITS = 8
 #: Candidates are kept and scored up to this distance, so that the weights see pairs that don't match, too.
 COMPARED_BITS = 12
-#: From so many records in a batch its hot blocks are looked for and split.
-MANY = 1_000_000
-_BLOCKS = "key int, scope string, h long, nid long, title string, fp string, first_batch int"
-_LINKS = "batch int, scope string, h long, nid long, other long, old long, distance int, pattern string"
+#: Folders of blocks; runs of one size before they are merged.
+BUCKETS, MERGED = 16, 8
+_BLOCKS = "key long, scope string, h long, nid long, title string, fp string, rep long, run int, bucket int"
+_LINKS = "batch int, scope string, h long, nid long, old long, rep long, distance int, pattern string"
+_MEMBERS, _MOVES = "nid long, rep long", "rep long, to long"
 
 
 def records(rows: DataFrame) -> DataFrame:
@@ -65,76 +74,142 @@ def learn(counts: dict[str, int], rounds: int = 30) -> dict[str, float]:
     return {p: sum(math.log2(m[i][p[i]] / u[i][p[i]]) for i in range(fields)) for p in counts}
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("scope", "key"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
 class History:
-    """Accepted records, kept in the session's shared folder."""
+    """Accepted records, kept under a name in the session's shared folder; opened again if they are there."""
 
-    def __init__(self, spark: SparkSession, below: int = BELOW_BITS) -> None:
+    def __init__(self, spark: SparkSession, name: str, below: int = BELOW_BITS) -> None:
         self.spark, self.below = spark, below
-        self.path = shared_path(spark, "history")
-        self.blocks: list[str] = []
-        self.linked: list[str] = []
-        self.reps: DataFrame | None = None
-        self.counts: dict[str, int] = {}
-        self.weights: dict[str, float] = {}
+        self.path = f"{shared_dir(spark).rstrip('/')}/{name}"
+        state = json.loads(read_text(spark, f"{self.path}/state.json") or "{}")
+        self.n: int = state.get("n", 0)
+        #: Finished runs of blocks: [size class, number].
+        self.runs: list[list] = state.get("runs", [])
+        self.counts: dict[str, int] = state.get("counts", {})
+        self.weights: dict[str, float] = state.get("weights", {})
+        self.n_runs: int = state.get("n_runs", 0)
+
+    def _save(self) -> None:
+        write_text(self.spark, f"{self.path}/state.json", json.dumps({"n": self.n, "runs": self.runs, "counts": self.counts, "weights": self.weights, "n_runs": self.n_runs}))
 
     def _read(self, schema: str, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def _stored(self, new: DataFrame) -> DataFrame:
-        return new.select(F.explode(similarity.stored_keys("h")).alias("key"), "scope", "h", "nid", "title", "fp", F.col("batch").alias("first_batch"))
-
-    def accept(self, new: DataFrame, clusters: bool = False, several: bool = False, within: bool = False) -> DataFrame:
-        """Link a delivery of records with what came in earlier batches and store it; returns its links (distance below
-        COMPARED_BITS). several: the delivery holds more than one batch, which are then held against each other, too.
-        clusters: bring the representatives up to date, by the links across batches. within: also by links inside a batch,
-        which are kept apart from the links returned."""
-        n = len(self.linked)
-        at, stored_at = f"{self.path}/links-{n}", f"{self.path}/blocks-{n}"
-        own = self._stored(new)
-        past = self._read(_BLOCKS, self.blocks)
-        if several:
-            past = past.unionByName(own)
+    def _each(self, kind: str) -> list[str]:
+        return [f"{self.path}/{kind}-{i}" for i in range(self.n)]
+
+    def _weight(self) -> Column:
+        known = F.create_map(*[F.lit(x) for kv in self.weights.items() for x in kv]) if self.weights else F.expr("cast(map() as map<string,double>)")
+        return F.element_at(known, F.col("pattern"))
+
+    def _run(self, r: int) -> str:
+        return f"{self.path}/blocks/run={r}"
+
+    def _stored(self, runs: list[int]) -> DataFrame:
+        return self.spark.read.schema(_BLOCKS).option("basePath", f"{self.path}/blocks").parquet(*map(self._run, runs))
+
+    def _store(self, blocks: DataFrame, size: int) -> None:
+        """Blocks as a new run; a run of that number that broke off is written over."""
+        r = self.n_runs
+        blocks.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._run(r))
+        self.runs.append([size, r])
+        self.n_runs += 1
+
+    def blocks_asked(self, new: DataFrame) -> DataFrame:
+        """The stored blocks of the folders that a batch asks for."""
+        past = self._stored([r for _, r in self.runs])
+        asked = [r[0] for r in new.select(F.explode(similarity.asked_keys("h", self.below)).alias("key"), "scope").select(_bucket()).distinct().collect()]  # BUCKETS rows at most
+        return past.where(F.col("bucket").isin(asked)) if len(asked) < BUCKETS else past
+
+    def accept(self, new: DataFrame, within: bool = False) -> None:
+        """Link a batch with what came in earlier ones and store it. within: clusters also grow by links inside the batch,
+        which are kept apart from the others."""
+        at = f"{self.path}/links-{self.n}"
+        own = new.select(F.explode(similarity.stored_keys("h")).alias("key"), "scope", "h", "nid", "title", "fp")
         asked = new.select(F.explode(similarity.asked_keys("h", self.below)).alias("key"), "batch", "scope", "h", "nid", "title", "fp")
-        held = past.select("key", "scope", F.col("h").alias("other"), F.col("nid").alias("old"), F.col("title").alias("title2"), F.col("fp").alias("fp2"), "first_batch")
-        join = split_join if new.count() > MANY else (lambda a, b, k: a.join(b, k))
         distance = similarity.hamming("h", "other")
-        near = join(asked, held, ["key", "scope"]).where((F.col("first_batch") < F.col("batch")) & (distance < COMPARED_BITS)).withColumn("distance", distance)
-        level = F.when(F.col("distance") == 0, "0").when(F.col("distance") < 4, "1").when(F.col("distance") < self.below, "2").otherwise("3")
-        pairs = near.select("batch", "scope", "h", "nid", "other", "old", "distance", F.concat(level, _agrees("title", "title2"), _agrees("fp", "fp2")).alias("pattern")).dropDuplicates(["batch", "scope", "h", "old"])
-        pairs.write.parquet(at)
-        self.linked.append(at)
+        if self.runs:
+            held = self.blocks_asked(new).select("key", "scope", F.col("h").alias("other"), F.col("nid").alias("old"), F.col("title").alias("title2"), F.col("fp").alias("fp2"), "rep")
+            near = split_join(asked, held, ["key", "scope"]).where(distance < COMPARED_BITS).withColumn("distance", distance)
+            level = F.when(F.col("distance") == 0, "0").when(F.col("distance") < 4, "1").when(F.col("distance") < self.below, "2").otherwise("3")
+            near.select("batch", "scope", "h", "nid", "old", "rep", "distance", F.concat(level, _agrees("title", "title2"), _agrees("fp", "fp2")).alias("pattern")).dropDuplicates(["scope", "h", "old"]).write.mode("overwrite").parquet(at)
+        else:
+            self.spark.createDataFrame([], _LINKS).write.mode("overwrite").parquet(at)
         links = self._read(_LINKS, [at])
         for r in links.groupBy("pattern").agg(F.count("*").alias("n")).collect():  # at most 36 patterns
             self.counts[r.pattern] = self.counts.get(r.pattern, 0) + r.n
         self.weights = learn(self.counts)
-        # a hash that was known before is stored already; of several batches in one delivery the first stores it
-        known = links.where("distance = 0").select("scope", "h", "batch").distinct()
-        own.join(known.withColumnRenamed("batch", "first_batch"), ["scope", "h", "first_batch"], "left_anti").select([c.split()[0] for c in _BLOCKS.split(", ")]).write.parquet(stored_at)
-        self.blocks.append(stored_at)
-        if clusters:
-            match = links.where(F.col("distance") < self.below).select("nid", "old")
-            if within:
-                mates = own.select("key", "scope", F.col("first_batch").alias("batch"), F.col("h").alias("other"), F.col("nid").alias("old"))
-                inside = join(asked.select("key", "scope", "batch", "h", "nid"), mates, ["key", "scope", "batch"])
-                match = match.unionByName(inside.where((F.col("h") < F.col("other")) & (distance < self.below)).select("nid", "old").distinct())
-            self._merge(new, match)
-        return links
-
-    def scored(self) -> DataFrame:
-        """All links so far with their score under the weights learned so far."""
-        links = self._read(_LINKS, self.linked)
-        if not self.weights:
-            return links.withColumn("score", F.lit(None).cast("double"))
-        weight = F.create_map(*[F.lit(x) for kv in self.weights.items() for x in kv])
-        return links.withColumn("score", F.element_at(weight, F.col("pattern")))
-
-    def _merge(self, new: DataFrame, match: DataFrame) -> None:
-        """Union-find over what this delivery touches: new records and the representatives of clusters they link to.
-        match: nid, old."""
-        reps = self.reps if self.reps is not None else self.spark.createDataFrame([], "nid long, rep long")
-        fresh = new.groupBy("scope", "h").agg(F.min_by("nid", "batch").alias("nid")).select("nid")
-        of_old = match.join(reps.withColumnRenamed("nid", "old"), "old", "left").select("nid", F.coalesce("rep", "old").alias("rep"))
-        found = components.components(of_old.select(F.col("nid").alias("src"), F.col("rep").alias("dst")))
-        moved = found.select(F.col("node").alias("rep"), F.col("component").alias("to"))
-        kept = reps.unionByName(fresh.join(reps, "nid", "left_anti").withColumn("rep", F.col("nid")))
-        self.reps = checkpoint(kept.join(moved, "rep", "left").select("nid", F.coalesce("to", "rep").alias("rep")))
+        match = links.where(F.col("distance") < self.below).select("nid", "rep")
+        inside = None
+        if within:
+            mates = own.select("key", "scope", F.col("h").alias("other"), F.col("nid").alias("old"))
+            both = split_join(asked.select("key", "scope", "h", "nid"), mates, ["key", "scope"])
+            inside = both.where((F.col("h") < F.col("other")) & (distance < self.below)).select("nid", "old").distinct()
+        reps = self._merge(new, match, inside)
+        # a hash that was known before is stored already, and its record is the one that came first
+        known = links.where("distance = 0").select("scope", "h").distinct()
+        fresh = own.join(known, ["scope", "h"], "left_anti").join(reps, "nid")
+        self._store(fresh.select(*[c.split()[0] for c in _BLOCKS.split(", ")[:-2]], _bucket()), 0)
+        self.n += 1
+        self._compact()
+        self._save()
+
+    def _compact(self) -> None:
+        """Merge the MERGED runs of one size class into one of the next."""
+        while len(same := [r for r in self.runs if r[0] == self.runs[-1][0]]) >= MERGED:
+            self.runs = [r for r in self.runs if r not in same]
+            self._store(self._stored([r for _, r in same]).drop("run"), same[0][0] + 1)
+            self._save()  # before the old runs go
+            for _, r in same:
+                remove(self.spark, self._run(r))
+
+    def _merge(self, new: DataFrame, match: DataFrame, inside: DataFrame | None) -> DataFrame:
+        """Union-find over what this batch touches: its records and the representatives of what they link to. match: nid,
+        rep (of the other record when it came); inside: nid, old. Written are the batch's members and the representatives
+        that are absorbed, nothing else. Returns the batch's members."""
+        roots = self._roots(match.select("rep"))
+        edges = match.join(roots, "rep").select(F.col("nid").alias("src"), F.col("root").alias("dst"))
+        if inside is not None:
+            edges = edges.unionByName(inside.select(F.col("nid").alias("src"), F.col("old").alias("dst")))
+        found = checkpoint(components.components(edges))
+        own = new.select("nid")
+        members, moves = f"{self.path}/members-{self.n}", f"{self.path}/moves-{self.n}"
+        own.join(found, own["nid"] == found["node"], "left").select("nid", F.coalesce("component", "nid").alias("rep")).write.mode("overwrite").parquet(members)
+        found.where("node <> component").join(own, found["node"] == own["nid"], "left_anti").select(F.col("node").alias("rep"), F.col("component").alias("to")).write.mode("overwrite").parquet(moves)
+        return self._read(_MEMBERS, [members])
+
+    def _roots(self, reps: DataFrame) -> DataFrame:
+        """(rep, root): representatives of any time and those that have absorbed them, step by step. A representative is
+        absorbed once, so it has one move at most."""
+        now = reps.select("rep").distinct().withColumn("root", F.col("rep"))
+        moves = self._read(_MOVES, self._each("moves"))
+        while self.n:
+            for _ in range(3):
+                now = now.join(moves.select(F.col("rep").alias("root"), "to"), "root", "left").select("rep", F.coalesce("to", "root").alias("root"), F.col("to").isNotNull().alias("moved"))
+            now = checkpoint(now)
+            if now.where("moved").isEmpty():
+                break
+        return now.select("rep", "root")
+
+    def representatives(self) -> DataFrame:
+        """(nid, rep) of every record: its cluster's representative now."""
+        members = self._read(_MEMBERS, self._each("members"))
+        return members.join(self._roots(members), "rep").select("nid", F.col("root").alias("rep"))
+
+    def links(self) -> DataFrame:
+        """All links so far, up to COMPARED_BITS, with their score under the weights learned so far."""
+        return self._read(_LINKS, self._each("links")).withColumn("score", self._weight())
+
+    def matches(self) -> DataFrame:
+        """(batch, scope, h, nid, old, rep, distance, score, n_links): of each record with a candidate below BELOW_BITS the
+        best-scored one, then the nearest, then the oldest, and the representative that the mapping gives the record."""
+        best = F.min(F.struct((-F.col("score")).alias("s"), "distance", "old")).alias("b")
+        found = self.links().where(F.col("distance") < self.below).groupBy("batch", "scope", "h", "nid").agg(best, F.count("*").alias("n_links"))
+        found = found.select("batch", "scope", "h", "nid", F.col("b.old").alias("old"), F.col("b.distance").alias("distance"), (-F.col("b.s")).alias("score"), "n_links")
+        return found.join(self.representatives(), "nid")
+
+    def drop(self) -> None:
+        remove(self.spark, self.path)

@@ -3,11 +3,13 @@ none of them; tests do the same on a small table."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import similarity
-from ..session import checkpoint, hot_join, shared_path, table
+from ..session import checkpoint, hot_join, shared_dir, table
 from . import history
 
 
@@ -19,44 +21,47 @@ def screens_of_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screens.join(sessions, "session_id").drop("session_id")
 
 
-def _replay(spark: SparkSession, rows: DataFrame, deliveries: int | None = None, clusters: bool = False, within: bool = False) -> history.History:
-    """Accept all batches, in order: one by one, or in the given number of deliveries of several batches."""
-    path = shared_path(spark, "records")
+def _replay(spark: SparkSession, rows: DataFrame, within: bool = False) -> history.History:
+    """Accept all batches, in order, into a new history. Its caller drops it."""
+    name = f"history-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}/records"
     history.records(rows).repartition("batch", F.pmod(F.xxhash64("h"), F.lit(4))).write.partitionBy("batch").parquet(path)
     new = spark.read.schema("scope string, h long, nid long, title string, fp string, batch int").parquet(path)
-    batches = sorted(r.batch for r in new.select("batch").distinct().collect())  # one row per delivery
-    size = -(-len(batches) // deliveries) if deliveries and batches else 1
-    past = history.History(spark)
-    for i in range(0, len(batches), size):
-        part = batches[i : i + size]
-        past.accept(new.where(F.col("batch").between(part[0], part[-1])), clusters=clusters, several=len(part) > 1, within=within)
+    past = history.History(spark, name)
+    for r in new.select("batch").distinct().orderBy("batch").collect():  # one row per delivery
+        past.accept(new.where(F.col("batch") == r.batch), within=within)
     return past
 
 
+def _kept(past: history.History, result: DataFrame) -> DataFrame:
+    """The result, written down, without the history that it came from."""
+    out = checkpoint(result)
+    past.drop()
+    return out
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = checkpoint(screens_of_games(spark, sf_dir))
-    links = _replay(spark, rows).scored().where(F.col("distance") < history.BELOW_BITS)
-    hits = links.select("batch", "scope", "h").distinct()
-    return rows.withColumn("h", similarity.bits_of("phash")).join(hits, ["batch", "scope", "h"], "left_semi").select("id")
+    past = _replay(spark, rows)
+    # a record is known if it has a match and a place in the mapping; matches are candidates below BELOW_BITS, exactly
+    hits = past.matches().where("rep is not null and old is not null").select("batch", "scope", "h")
+    return _kept(past, hot_join(rows.withColumn("h", similarity.bits_of("phash")), hits, ["batch", "scope", "h"], "left_semi").select("id"))
 
 
 def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each record of a batch that was known: its best match by score, then distance, then age."""
-    links = _replay(spark, checkpoint(screens_of_games(spark, sf_dir))).scored().where(F.col("distance") < history.BELOW_BITS)
-    best = links.groupBy("batch", "scope", "nid").agg(F.min(F.struct((-F.col("score")).alias("s"), "distance", "old")).alias("b"), F.count("*").alias("n_links"))
-    return best.select("batch", F.col("scope").alias("game_title"), F.col("nid").alias("id"), F.col("b.old").alias("known_id"), F.col("b.distance").alias("distance"), F.round(-F.col("b.s"), 6).alias("score"), "n_links")
+    past = _replay(spark, checkpoint(screens_of_games(spark, sf_dir)))
+    return _kept(past, past.matches().select("batch", F.col("scope").alias("game_title"), F.col("nid").alias("id"), F.col("old").alias("known_id"), "distance", F.round("score", 6).alias("score"), "n_links"))
 
 
 def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, cluster_id) of every screen with a game and a valid hash, after three deliveries of several batches each;
-    links inside a batch count, too."""
-    rows = checkpoint(screens_of_games(spark, sf_dir)).withColumn("h", similarity.bits_of("phash")).where("h is not null")
-    past = _replay(spark, rows, deliveries=3, clusters=True, within=True)
-    if past.reps is None:
-        return spark.createDataFrame([], "id long, cluster_id long")
-    first = rows.groupBy("scope", "h").agg(F.min_by(F.struct(F.col("id")), F.struct("batch", "id")).alias("f")).select("scope", "h", F.col("f.id").alias("nid"))
-    reps = hot_join(rows.select("id", "scope", "h"), first, ["scope", "h"])
-    return reps.join(past.reps, "nid").select("id", F.col("rep").alias("cluster_id"))
+    """(id, cluster_id) of every screen with a game and a valid hash, after all batches one by one; links inside a batch
+    count, too."""
+    rows = checkpoint(screens_of_games(spark, sf_dir).withColumn("h", similarity.bits_of("phash")).where("h is not null and batch is not null"))
+    past = _replay(spark, rows, within=True)
+    record = rows.groupBy("batch", "scope", "h").agg(F.min("id").alias("nid"))
+    of = hot_join(rows.select("id", "batch", "scope", "h"), record, ["batch", "scope", "h"])
+    return _kept(past, hot_join(of.select("id", "nid"), past.representatives(), ["nid"]).select("id", F.col("rep").alias("cluster_id")))
 
 
 QUERIES = {"p5_found": p5_found, "p5_matches": p5_matches, "p5_clusters": p5_clusters}

@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import all_salts, checkpoint, salt_of
+from ..session import checkpoint, hot_join, split_join
 
 #: Least run of words; of letters or digits for languages without blanks. k-gram and window add up to one more.
 RUN = {"w": 12, "c": 30}
 KGRAM = {"w": 7, "c": 16}
 WITHOUT_BLANKS = ("ja",)
-#: Kept hashes of the items, and hits, that may be broadcast; with more, the joins are shuffled (the items' side repeated for SALTS).
-BROADCAST_ROWS = 500_000
-SALTS = 8
+#: Kept hashes of the items, hits, and letters of the items' texts, that may be broadcast; with more, the joins are
+#: shuffled, frequent hashes and items in pieces.
+BROADCAST_ROWS, BROADCAST_CHARS = 500_000, 20_000_000
 #: Texts are hashed together up to so many characters.
 CHARS = 1_500_000
 _SEP, _KEEP, _DROP = 0, 1, 2
@@ -139,21 +139,29 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str
         yield ids, texts
 
 
-def _fingerprints(units: str):
+def _fingerprints(units: str, wanted=None):
+    """wanted: broadcast, for each unit the sorted hashes that others are dropped for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _batches(batches):
             key = np.array(ids, np.int64)
             for unit in units:
+                if wanted is not None and not len(wanted.value[unit]):
+                    continue
                 doc, at, h = winnow(texts, unit)
+                if wanted is not None and len(doc):
+                    known = wanted.value[unit]
+                    hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                    doc, at, h = doc[hit], at[hit], h[hit]
                 if len(doc):
                     yield pa.RecordBatch.from_arrays([pa.array(key[doc]), pa.array([unit] * 1).take(pa.array(np.zeros(len(doc), np.int8))), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32))], names=["id", "unit", "fp", "at"])
 
     return run
 
 
-def fingerprints(df: DataFrame, row: str, text: str, units: str = "wc") -> DataFrame:
+def fingerprints(df: DataFrame, row: str, text: str, units: str = "wc", wanted=None) -> DataFrame:
     """(id, unit, fp, at): kept hashes of each text and their positions, in words ('w') or letters ('c')."""
-    return df.where(F.col(text).isNotNull() & F.col(row).isNotNull()).select(F.col(row).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_fingerprints(units), "id long, unit string, fp long, at int")
+    return df.where(F.col(text).isNotNull() & F.col(row).isNotNull()).select(F.col(row).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_fingerprints(units, wanted), "id long, unit string, fp long, at int")
 
 
 def longest_run(doc: np.ndarray, item: np.ndarray, diagonals: list[int]) -> tuple[int, int]:
@@ -198,16 +206,21 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     tests = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), unit_of.alias("unit"), F.col("text").alias("item_text"))
     wanted = tests.select(F.col("item_id").alias("_i"), F.col("unit").alias("_u"))
     of_items = fingerprints(tests, "item_id", "item_text").join(wanted, (F.col("id") == F.col("_i")) & (F.col("unit") == F.col("_u")), "left_semi").select(F.col("id").alias("item_id"), "unit", "fp", F.col("at").alias("item_at")).distinct()
-    of_docs = fingerprints(documents, "doc_id", "text").select(F.col("id").alias("doc_id"), "unit", "fp", "at")
-    if of_items.count() <= BROADCAST_ROWS:
-        hits = of_docs.join(F.broadcast(of_items), ["unit", "fp"])
-    else:
-        hits = of_docs.withColumn("salt", salt_of(SALTS, "doc_id")).join(of_items.select("*", all_salts(SALTS).alias("salt")), ["unit", "fp", "salt"])
+    of_items = checkpoint(of_items)
+    few_items = of_items.count() <= BROADCAST_ROWS
+    wanted = None
+    if few_items:  # a measured number of hashes of the items; documents' other hashes needn't leave their batch
+        fps = of_items.select("unit", "fp").distinct().toPandas()
+        wanted = documents.sparkSession.sparkContext.broadcast({u: np.sort(fps.fp[fps.unit == u].to_numpy(np.int64).view(np.uint64)) for u in "wc"})
+    of_docs = fingerprints(documents, "doc_id", "text", wanted=wanted).select(F.col("id").alias("doc_id"), "unit", "fp", "at")
+    hits = of_docs.join(F.broadcast(of_items), ["unit", "fp"]) if few_items else split_join(of_docs, of_items, ["unit", "fp"], 100_000)
     pairs = hits.groupBy("doc_id", "item_id", "unit").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"))
     texts = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("doc_text"))
     # few documents hold passages: then all others needn't be shuffled to meet them
     pairs = checkpoint(pairs)
     few = (pairs.agg(F.sum(F.size("diagonals"))).first()[0] or 0) <= BROADCAST_ROWS
-    both = texts.join(F.broadcast(pairs) if few else pairs, "doc_id").join(tests, ["item_id", "unit"])
+    both = texts.join(F.broadcast(pairs) if few else pairs, "doc_id")
+    short = (tests.agg(F.sum(F.length("item_text"))).first()[0] or 0) <= BROADCAST_CHARS
+    both = both.join(F.broadcast(tests), ["item_id", "unit"]) if short else hot_join(both, tests, ["item_id", "unit"], counted=pairs)
     found = both.mapInPandas(_extend, "doc_id long, item_id long, unit string, run int, at int")
     return found.groupBy("doc_id", "item_id", "unit").agg(F.max(F.struct("run", F.col("at"))).alias("m")).select("doc_id", "item_id", "unit", F.col("m.run").alias("run"), F.col("m.at").alias("at"))

@@ -29,8 +29,8 @@ from ..session import checkpoint
 BLOCK_TOKENS = 1024
 SHARD_SLOTS = 1000
 SEED = 17
-#: Documents of one source are put in order within so many hash ranges, so that no task holds a whole source.
-RANGES = 256
+#: Documents of one source are put in order within hash ranges of about so many documents, so that no task holds a whole source.
+RANGE_DOCUMENTS = 50_000
 #: Sources a target table may name; per-source figures are handled by the driver.
 MOST_SOURCES = 10_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -85,11 +85,12 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
 def packed(counts: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
     """(source, block, n_tokens, spans): the blocks of each source; spans: doc_id and first and last token + 1 of each
     part. Offsets are running sums in two steps, over hash ranges and within them."""
-    docs = counts.where("n_tokens > 0").withColumn("o", F.xxhash64(F.lit(seed), "doc_id")).withColumn("range", F.pmod(F.shiftrightunsigned("o", 20), F.lit(RANGES)).cast("int"))
-    ranges = docs.groupBy("source", "range").agg(F.sum("n_tokens").alias("s"))
-    before = ranges.withColumn("base", F.sum("s").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))).select("source", "range", F.coalesce("base", F.lit(0)).alias("base"))
+    ranges = max(1, -(-counts.count() // RANGE_DOCUMENTS))
+    docs = counts.where("n_tokens > 0").withColumn("o", F.xxhash64(F.lit(seed), "doc_id")).withColumn("range", F.pmod(F.shiftrightunsigned("o", 20), F.lit(ranges)).cast("int"))
+    sums = docs.groupBy("source", "range").agg(F.sum("n_tokens").alias("s"))
+    before = sums.withColumn("base", F.sum("s").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))).select("source", "range", F.coalesce("base", F.lit(0)).alias("base"))
     inside = F.sum("n_tokens").over(Window.partitionBy("source", "range").orderBy("o", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # at most RANGES rows a source
+    # a row per range
     placed = docs.withColumn("run", inside).join(before, ["source", "range"]).withColumn("start", F.col("base") + F.col("run") - F.col("n_tokens"))
     first, last = F.floor(F.col("start") / block_tokens), F.floor((F.col("start") + F.col("n_tokens") - 1) / block_tokens)
     parts = placed.select("source", "doc_id", "start", "n_tokens", F.explode(F.sequence(first, last)).alias("block"))
@@ -190,11 +191,12 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     lack_end = np.cumsum(lack)
     surplus_begin = np.cumsum(surplus) - surplus
     got = np.minimum(drawn.sum(0), quota) if shards else surplus
+    sent = spark.sparkContext.broadcast(begin)  # groups of shards, 10,000 at most, by sources
 
     def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for g in pdf["id"]:
-                at = begin[g].copy()
+                at = sent.value[g].copy()
                 for shard in range(g * chunk, min(shards, (g + 1) * chunk)):
                     n = draws(shard)
                     src = np.repeat(np.arange(len(names)), n)
@@ -233,9 +235,12 @@ def tokens_of(mixed: DataFrame, documents: DataFrame, vocabulary: str = VOCABULA
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                ids = encode(r.text, vocabulary)
-                yield pd.DataFrame([(p["shard"], p["slot"], p["at"], ids[p["first"] : p["stop"]]) for p in r.p], columns=["shard", "slot", "at", "ids"])
+            for at in range(0, len(pdf), 500):
+                out = []
+                for r in pdf[at : at + 500].itertuples(index=False):
+                    ids = np.array(encode(r.text, vocabulary), np.int32)
+                    out += [(p["shard"], p["slot"], p["at"], ids[p["first"] : p["stop"]]) for p in r.p]
+                yield pd.DataFrame(out, columns=["shard", "slot", "at", "ids"])
 
     cut = by_doc.select("text", "p").mapInPandas(run, "shard long, slot long, at int, ids array<int>")
     return cut.groupBy("shard", "slot").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("x")).select("shard", "slot", F.flatten(F.transform("x", lambda x: x["ids"])).alias("tokens"))

@@ -22,5 +22,10 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
-QUERIES = {"p8_blocks": p8_blocks, "p8_report": p8_report}
+def p8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every block of the mixture."""
+    return mixing.tokens_of(_mixture(spark, sf_dir)[0], table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"p8_blocks": p8_blocks, "p8_report": p8_report, "p8_tokens": p8_tokens}
 ORACLES: dict[str, str] = {}

@@ -164,7 +164,8 @@ def token_key(token: Column) -> Column:
 
 def _recompose(chars: Column) -> Column:
     """A starter and its marks, in order, to the composed string: a fold over the few code points of one segment."""
-    pairs = F.create_map(*[F.lit(x) for kv in compositions() for x in kv])
+    # one constant, not two thousand expressions
+    pairs = F.str_to_map(F.lit("\n".join("\t".join(kv) for kv in compositions())), F.lit("\n"), F.lit("\t"))
     code = lambda s: F.ascii(s)  # noqa: E731  (ascii gives the code point of the first character)
 
     def step(acc: Column, x: Column) -> Column:

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from screenloom.llm import history, history_queries
 
 
@@ -18,39 +20,81 @@ def test_found_on_whole_table(spark, sf):
     assert set(got) == brute(rows)[0] and len(got) == len(set(got)) and got
 
 
-def test_any_number_of_deliveries(spark):
-    g = random.Random(4)
+def made(seed=4, n=160):
+    g = random.Random(seed)
     base = [g.getrandbits(64) for _ in range(25)]
     rows = []
-    for i in range(160):
+    for i in range(n):
         h = g.choice(base)
         for b in g.sample(range(64), g.randrange(0, 9)):
             h ^= 1 << b
         rows.append((i, g.randrange(1, 7), g.choice(["x", "y", None]), g.choice([f"{h:016x}", f"{h:016X}", "none", None, f"{h:016x}"]), g.choice(["t", None, ""]), "f"))
-    df = spark.createDataFrame(rows + rows[:5], "id long, batch int, scope string, phash string, title string, fingerprint string")
-    found, case = brute([r[:4] for r in rows])
-    key = {(b, s, h if h < 1 << 63 else h - (1 << 64)) for i, b, s, h in case if i in found}
-    one = history_queries._replay(spark, df, clusters=True)
-    two = history_queries._replay(spark, df, deliveries=2, clusters=True)
-    for past in (one, two):
-        assert {(r.batch, r.scope, r.h) for r in past.scored().where("distance < 8").collect()} == key
-    # clusters: everything linked across batches
+    return rows
+
+
+def clusters(rows, within):
+    """Representatives by union-find over all records of (batch, scope, hash)."""
+    case = brute([r[:4] for r in rows])[1]
     first = {}
-    for i, b, s, h in sorted(case, key=lambda r: (r[1], r[0])):
-        first.setdefault((s, h), i)
+    for i, b, s, h in sorted(case):
+        first.setdefault((b, s, h), i)
     up = {n: n for n in first.values()}
     find = lambda x: x if up[x] == x else find(up[x])
-    for _, b, s, h in case:
-        for _, b2, s2, h2 in case:
-            if s == s2 and b2 < b and (h ^ h2).bit_count() < 8:
-                x, y = sorted((find(first[s, h]), find(first[s, h2])))
+    for (b, s, h), i in first.items():
+        for (b2, s2, h2), i2 in first.items():
+            if s == s2 and (b2 < b or within and b2 == b) and (h ^ h2).bit_count() < 8:
+                x, y = sorted((find(i), find(i2)))
                 up[y] = x
-    want = {frozenset(n for n in up if find(n) == r) for r in {find(n) for n in up}}
-    for past in (one, two):
-        by = {}
-        for r in past.reps.collect():
-            by.setdefault(r.rep, set()).add(r.nid)
-        assert {frozenset(x) for x in by.values()} == want
+    return {n: find(n) for n in up}
+
+
+ROWS = "id long, batch int, scope string, phash string, title string, fingerprint string"
+
+
+@pytest.mark.parametrize("within", [False, True])
+def test_batches_one_by_one(spark, monkeypatch, within):
+    monkeypatch.setattr(history, "MERGED", 3)
+    rows = made()
+    found, case = brute([r[:4] for r in rows])
+    key = {(b, s, h if h < 1 << 63 else h - (1 << 64)) for i, b, s, h in case if i in found}
+    past = history_queries._replay(spark, spark.createDataFrame(rows + rows[:5], ROWS), within=within)
+    got = past.matches().collect()
+    assert {(r.batch, r.scope, r.h) for r in got} == key and len(got) == len(key) and all(r.score is not None for r in got)
+    want = clusters(rows, within)
+    assert {r.nid: r.rep for r in past.representatives().collect()} == want and {r.nid: r.rep for r in got} == {r.nid: want[r.nid] for r in got}
+    assert len(past.runs) < 4
+    past.drop()
+
+
+def test_opened_again_and_broken_off(spark):
+    """A new object goes on where the named history stands; a batch that broke off is accepted again."""
+    rows = made(9, 120)
+    new = history.records(spark.createDataFrame(rows, ROWS))
+    history.History(spark, "again").accept(new.where("batch = 1"))
+    half = history.History(spark, "again")
+    half._save = lambda: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        half.accept(new.where("batch = 2"))
+    for b in range(2, 7):
+        history.History(spark, "again").accept(new.where(f"batch = {b}"))
+    past = history.History(spark, "again")
+    assert past.n == 6 and past.weights and {r.nid: r.rep for r in past.representatives().collect()} == clusters(rows, False)
+    past.drop()
+
+
+def test_a_batch_reads_what_it_asks_for(spark, monkeypatch):
+    """Blocks read and mapping rows written follow the batch, not the history."""
+    monkeypatch.setattr(history, "BUCKETS", 400)
+    g = random.Random(1)
+    old = [(i, 1, "x", f"{g.getrandbits(64):016x}", "t", "f") for i in range(3000)]
+    new = [(10_000, 2, "x", old[7][3], "t", "f")]
+    past = history.History(spark, "small")
+    past.accept(history.records(spark.createDataFrame(old, ROWS)))
+    batch = history.records(spark.createDataFrame(new, ROWS))
+    assert past.blocks_asked(batch).count() < 0.25 * 4 * len(old)
+    past.accept(batch)
+    assert [tuple(r) for r in spark.read.parquet(f"{past.path}/members-1").collect()] == [(10_000, 7)] and spark.read.parquet(f"{past.path}/moves-1").count() == 0
+    past.drop()
 
 
 def test_weights_rise_with_agreement():
@@ -59,18 +103,5 @@ def test_weights_rise_with_agreement():
 
 
 def test_empty(spark):
-    df = spark.createDataFrame([], "id long, batch int, scope string, phash string, title string, fingerprint string")
-    assert history_queries._replay(spark, df).scored().count() == 0
-
-
-def test_clusters_inside_a_batch(spark):
-    hs = [0, 0b11, 0b11110011, (1 << 64) - 1, (1 << 64) - 2, 0xF0F0F0F0F0F0F0F0]
-    rows = [(i, b, "x", f"{h:016x}", "t", "f") for i, (b, h) in enumerate(zip([1, 1, 1, 1, 2, 2], hs))] + [(6, 2, "x", f"{0x00000F0F0F000F01:016x}", "t", "f"), (7, 2, "x", f"{0x00000F0F0F000F00:016x}", "t", "f"), (8, 1, "y", f"{0:016x}", "t", "f")]
-    df = spark.createDataFrame(rows, "id long, batch int, scope string, phash string, title string, fingerprint string")
-    for deliveries in (None, 1):
-        past = history_queries._replay(spark, df, deliveries=deliveries, clusters=True, within=True)
-        by = {}
-        for r in past.reps.collect():
-            by.setdefault(r.rep, set()).add(r.nid)
-        assert {frozenset(x) for x in by.values()} == {frozenset(x) for x in ({0, 1, 2}, {3, 4}, {5}, {6, 7}, {8})}
-        assert {(r.nid, r.old) for r in past.scored().where("distance < 8").collect()} == {(4, 3)}
+    past = history_queries._replay(spark, spark.createDataFrame([], ROWS))
+    assert past.matches().count() == 0 and past.representatives().count() == 0
