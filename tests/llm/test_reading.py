@@ -43,9 +43,19 @@ def test_odd_texts_and_labels(spark):
 def test_long_leak_takes_no_level():
     assert reading.list_lines("label\n" * 40) == 40
     assert reading.list_lines("> If the weir floods at\n> past noon, name\n> the 3\n> boats. Who\n> asks\n\nHead\nOne two.") == 3
-    m = reading.Model(["the", "cat", "sees", "box"], np.zeros((4, 5)), np.zeros(5), np.eye(5) + 0.1)
+    m = reading.Model(["en"], [(0, w) for w in ("the", "cat", "sees", "box")], np.zeros((4, 5)), np.eye(5) + 0.1)
     prose = "The cat sees the box.\n" * 14
     wrapped = "Name the drowsy glazier who\n" + "repaired every lock gate ahead of\n" * 60
     joined = "Debe todavía 29 velas al campanario por prestadas plumas " * 40
     level, n = m.score([prose, prose + wrapped, prose + joined, "Label\n" * 29 + prose, wrapped, "Label\n" * 28 + prose])
     assert list(n) == [14, 14, 14, 0, 0, 14] and list(level > 0) == [True, True, True, False, False, True]
+
+
+def test_word_difficulties_are_found_again():
+    """Parameters fitted to expected counts of known words lie where they were; difficulties are on the scale of levels."""
+    q = np.full((4, 5), 1e6)
+    true = np.array([[-2.0, 1.0, 0.5, 0, 0], [-3.0, -2.0, 1.0, 0, 0], [-1.5, 0.0, 0.8, 0.3, 0], [-4.0, 1.5, 0.0, 0, 0]])
+    got = reading.parameters(q / (1 + np.exp(-(true @ reading.DESIGN.T))), q)
+    assert np.abs(got - true).max() < 0.1
+    m = reading.Model(["en"], [(0, w) for w in "abcd"], got, np.eye(5))
+    assert np.abs(m.difficulty() - [4, 2, 3, 6]).max() < 0.15
