@@ -1,4 +1,4 @@
-"""Column functions over boxes: bounds, centres, overlap, containment, bands, frames."""
+"""Column functions over boxes: bounds, centres, overlap, containment, bands, frames."""
 
 from __future__ import annotations
 
@@ -45,8 +45,43 @@ def upright(center_: Column, width: Column, height: Column) -> Column:
     return F.when(swap, F.array(y, x)).otherwise(center_)
 
 
+#: Priority of a colour.
+COLOUR_PRIORITY = {"orange": 10, "red": 9, "blue": 7, "green": 6, "purple": 5, "yellow": 4, "gray": 2, "white": 1, "unknown": 0}
+
+
+def colour_priority(name: Column) -> Column:
+    """How soon something of a colour is tapped; 0 for others and null."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in COLOUR_PRIORITY.items() for x in kv]), name), F.lit(0))
+
+
+def fraction(size: Column, part: float) -> Column:
+    """Whole number at a part of a frame's side."""
+    return (size * F.lit(part)).cast("int")
+
+
+def mean(values: Column) -> Column:
+    """Mean of an array, such as the grey or hue values of an image (A18); null for none."""
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
+
+
+def largest_first(blobs: Column) -> Column:
+    """Array of struct(area, ...) by area, the largest first."""
+    return F.sort_array(blobs, asc=False)
+
+
+def rows_by_y(boxes: Column) -> Column:
+    """Recognised texts from top to bottom, in their order on ties (O13). boxes: array of struct(text, confidence, center, ...)."""
+    at = F.transform(boxes, lambda r, i: F.struct(r["center"][1].alias("y"), i.alias("i"), r["text"].alias("text"), r["confidence"].alias("confidence")))
+    return F.transform(F.sort_array(at), lambda r: F.struct(r["y"].alias("y"), r["text"].alias("text"), r["confidence"].alias("confidence")))
+
+
+def surest_text(boxes: Column) -> Column:
+    """Text of the highest confidence, the first on ties."""
+    return F.array_max(F.transform(boxes, lambda r, i: F.struct(r["confidence"].alias("c"), (-i).alias("o"), r["text"].alias("t"))))["t"]
+
+
 def scaled(px: Column, scale: Column) -> Column:
-    """Device pixels to points, cut to whole numbers."""
+    """Device pixels to points, cut to whole numbers."""
     return (px / scale).cast("int")
 
 

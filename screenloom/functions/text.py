@@ -87,8 +87,10 @@ def screen_title(boxes: Column) -> Column:
 
 
 def _title(boxes: Column, h: Column, w: Column) -> Column:
-    at = F.transform(boxes, lambda r, i: F.struct(r["text"].alias("text"), r["confidence"].alias("conf"), r["center"].alias("c"), box_height(r["box"]).alias("tall"), (-i).alias("order")))
-    base = F.filter(at, lambda r: (r["conf"] > 0.8) & F.length(r["text"]).between(2, 20) & ~strip(r["text"]).isin(NO_TITLES) & (r["c"][1] > h * F.lit(0.05)))
+    # cheap conditions go first, so that few texts are stripped
+    sure = F.filter(F.transform(boxes, lambda r, i: F.struct(r["text"].alias("text"), r["confidence"].alias("conf"), r["center"].alias("c"), r["box"].alias("box"), (-i).alias("order"))), lambda r: (r["conf"] > 0.8) & (r["c"][1] > h * F.lit(0.05)) & (r["c"][1] < h * F.lit(0.30)))
+    named = F.filter(sure, lambda r: F.length(r["text"]).between(2, 20) & ~strip(r["text"]).isin(NO_TITLES))
+    base = F.transform(named, lambda r: F.struct(r["text"].alias("text"), r["conf"].alias("conf"), r["c"].alias("c"), box_height(r["box"]).alias("tall"), r["order"].alias("order")))
     large = F.filter(base, lambda r: (r["c"][1] < h * F.lit(0.30)) & (r["tall"] >= h * F.lit(0.03)))
     nav = F.filter(base, lambda r: (r["c"][1] < h * F.lit(0.20)) & (r["c"][0] >= w * F.lit(0.20)) & (r["c"][0] <= w * F.lit(0.80)))
     first = lambda rows, key: F.array_max(F.transform(rows, lambda r: F.struct(r[key], r["order"], r["text"].alias("text"))))["text"]
@@ -112,21 +114,25 @@ def tappable_items(boxes: Column, least_confidence: float = 0.5) -> Column:
 
 
 def _tappable(boxes: Column, h: Column, w: Column, least_confidence: float) -> Column:
-    right = w * F.lit(0.85)
-    chevrons = F.transform(F.filter(boxes, lambda r: strip(r["text"]).isin(">", "›") & (r["center"][0] > right)), lambda r: r["center"][1])
-    band = h * F.lit(0.04)
+    # stripped text and height once per box
+    at = F.transform(boxes, lambda r: F.struct(strip(r["text"]).alias("text"), r["confidence"].alias("conf"), r["center"][0].alias("x"), r["center"][1].alias("y"), box_height(r["box"]).alias("tall")))
+    return F.get(F.transform(F.array(F.struct(at.alias("at"), h.alias("h"), w.alias("w"))), lambda s: _chosen(s["at"], s["h"], s["w"], least_confidence)), F.lit(0))
+
+
+def _chosen(at: Column, h: Column, w: Column, least_confidence: float) -> Column:
+    right, band = w * F.lit(0.85), h * F.lit(0.04)
+    chevrons = F.filter(at, lambda r: r["text"].isin(">", "›") & (r["x"] > right))
 
     def path(r: Column) -> Column:
-        text, x, y = strip(r["text"]), r["center"][0], r["center"][1]
-        small = box_height(r["box"]) < h * F.lit(0.03)
-        out = (r["confidence"] < least_confidence) | (text == "") | ((F.length(text) <= 1) & ~text.isin(ICONS)) | text.isin(NEVER_TAPPED) | (y < h * F.lit(0.05)) | (x > right)
-        in_row = F.exists(chevrons, lambda c: F.abs(y - c) <= band)
+        text, x, y = r["text"], r["x"], r["y"]
+        small = r["tall"] < h * F.lit(0.03)
+        out = (r["conf"] < least_confidence) | (text == "") | (y < h * F.lit(0.05)) | (x > right) | ((F.length(text) <= 1) & ~text.isin(ICONS)) | text.isin(NEVER_TAPPED)
+        in_row = F.exists(chevrons, lambda c: F.abs(y - c["y"]) <= band)
         content = (F.size(chevrons) < 5) & y.between(h * F.lit(0.15), h * F.lit(0.80)) & (x < w * F.lit(0.80)) & F.length(text).between(2, 20) & small & ~((x > w * F.lit(0.40)) & (F.length(text) > 12))
         return F.when(out, None).when(contains_any(text, ACTION_WORDS), "action").when(y > h * F.lit(0.80), "footer").when(in_row, F.when(small, "row")).when(content, "content")
 
-    paths = F.filter(F.transform(boxes, lambda r: F.struct(strip(r["text"]).alias("text"), path(r).alias("path"))), lambda r: r["path"].isNotNull())
-    texts = F.transform(paths, lambda r: r["text"])
-    return F.filter(paths, lambda r, i: F.array_position(texts, r["text"]) == i + 1)
+    paths = F.filter(F.transform(at, lambda r: F.struct(r["text"].alias("text"), path(r).alias("path"))), lambda r: r["path"].isNotNull())
+    return F.get(F.transform(F.array(paths), lambda p: F.filter(p, lambda r, i: F.array_position(F.transform(p, lambda x: x["text"]), r["text"]) == i + 1)), F.lit(0))
 
 
 def element_type(label: Column) -> Column:
@@ -228,6 +234,49 @@ def action(c: Column) -> Column:
     )
 
 
+def usb_serial(c: Column) -> Column:
+    """The 24 hex digits of a device listing's serial line; null without one."""
+    return F.nullif(F.regexp_extract(c, r'"USB Serial Number"\s*=\s*"([0-9A-Fa-f]{24})"', 1), F.lit(""))
+
+
+def is_udid(c: Column) -> Column:
+    """Whether a text is a device id: 8-16 or 24 to 40 hex digits."""
+    return c.rlike(r"^([0-9A-Fa-f]{8}-[0-9A-Fa-f]{16}|[0-9A-Fa-f]{24,40})$")
+
+
+def platform_of(ios: list[Column], android: list[Column]) -> Column:
+    """Platform by the first kind of probe that found something, else 'unknown' (F17)."""
+    some = lambda cs: reduce(lambda a, b: a | b, (F.coalesce(c, F.lit("")) != "" for c in cs))
+    return F.when(some(ios), "ios").when(some(android), "android").otherwise("unknown")
+
+
+def device_mode(mode: Column, android_id: Column) -> Column:
+    """Mode of a device: a named mirror or Android, else Android if there is an Android id, else simulator."""
+    named = F.upper(F.coalesce(mode, F.lit("")))
+    return F.when(named.isin("MIRROR", "ANDROID"), named).when(F.trim(F.coalesce(android_id, F.lit(""))) != "", "ANDROID").otherwise("SIMULATOR")
+
+
+def tap_evidence(x: Column, y: Column, boxes: Column) -> Column:
+    """JSON of a successful tap, with the boxes if there are any."""
+    return F.to_json(F.struct(F.lit("coordinate_tap").alias("action"), x.alias("x"), y.alias("y"), F.lit("success").alias("result"), boxes.alias("ocr_boxes")))
+
+
+def shown_title(title: Column) -> Column:
+    """Title as trees show it (F32)."""
+    return F.when(title == "unknown", "❓ unknown").otherwise(F.coalesce(title, F.lit("")))
+
+
+def title_warning(title: Column, n_items: Column, depth: Column) -> Column:
+    """What a tree says behind a title; '' for nothing (F32)."""
+    return F.when(title == "unknown", "← 要調査").when((n_items <= 1) & (depth > 0), "⚠ タップ候補少").otherwise("")
+
+
+def model_key(name: Column, version: Column) -> Column:
+    """struct that sorts device models: stable version (below 20) first, then version, then the plain model."""
+    v = version_key(version)
+    return F.struct((F.coalesce(F.get(v, F.lit(0)), F.lit(0)) < 20).alias("stable"), v.alias("version"), (name == "iPhone 16").alias("plain"))
+
+
 ANALYSIS = "screen_type string, buttons array<struct<name:string,position:string,priority:int,description:string>>, confidence double"
 
 

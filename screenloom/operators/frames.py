@@ -1,4 +1,4 @@
-"""Sequences of frames per key: change, islands of no change, stuck, stalled and watched states, settling.
+"""Sequences of frames per key: change, islands of no change, stuck, stalled and watched states, settling.
 
 Batch forms, as windows over (key; ts, id). A null signal counts as no reading: the change to it is unknown and so a
 change. Ties of ts are ordered by id. One task sorts a key's frames, on disk if need
@@ -58,6 +58,37 @@ def watchdog(seconds: Column, last_action: Column, exempt: list[str], limit: int
     return (seconds >= limit) & ~F.coalesce(last_action.isin(exempt), F.lit(False))
 
 
+def recoveries(df: DataFrame, bites: Column, w: WindowSpec, most: int = 3) -> DataFrame:
+    """df with recovery: the number of the attempt that a bite calls for, null where none is made, as after `most` attempts
+    the watchdog gives up (T5). An attempt is made where a bite begins."""
+    begins = bites & ~F.coalesce(F.lag(bites).over(w), F.lit(False))
+    df = df.withColumn("_begins", begins)
+    n = F.sum(F.when(F.col("_begins"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("recovery", F.when(F.col("_begins") & (n <= most), n)).drop("_begins")
+
+
+def lit_islands(df: DataFrame, brightness: Column, dark: float, changed, w: WindowSpec, partition: str) -> DataFrame:
+    """Islands of no change among the frames that aren't dark; dark frames are skipped and break them (T6). changed(w): the
+    condition of a change within a window; a frame after a dark one has no predecessor. A null brightness is not dark."""
+    is_dark = F.coalesce(brightness <= dark, F.lit(False))
+    df = df.withColumn("_dark", is_dark).withColumn("lit", F.sum(F.when(F.col("_dark"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inner = Window.partitionBy(partition, "lit").orderBy("ts", "id")
+    return islands(df.where("not _dark").drop("_dark"), changed(inner), inner)
+
+
+def found_within(df: DataFrame, key: str, hit: Column, y: Column, low: float, high: float, tries: int = 5) -> DataFrame:
+    """(key, attempt): the first of the first tries of each key at which a keyword is seen within a band of y, its lower
+    edge included; null if at none (T12)."""
+    n = df.withColumn("attempt", F.row_number().over(order(key)))
+    ok = hit & (y >= low) & (y < high) & (F.col("attempt") <= tries)
+    return n.groupBy(key).agg(F.min(F.when(ok, F.col("attempt"))).alias("attempt"))
+
+
+def least_distance(distances: Column, none: int = NO_FRAME) -> Column:
+    """Least of an array of distances; NO_FRAME for none."""
+    return F.coalesce(F.array_min(distances), F.lit(none))
+
+
 def near_runs(df: DataFrame, x: str, y: str, w: WindowSpec, radius: int = 50) -> DataFrame:
     """df with run: how many frames in a row lie within radius of the one before."""
     near = (F.abs(F.col(x) - F.lag(x).over(w)) <= radius) & (F.abs(F.col(y) - F.lag(y).over(w)) <= radius)
@@ -91,9 +122,9 @@ def cycle_phase(n: Column) -> Column:
     return (n >= 8) & F.pmod(n - 8, F.lit(8)).isin(0, 4)
 
 
-def rapid(distance: Column, last_action: Column) -> Column:
+def rapid(distance: Column, last_action: Column, tap: str = "STORY_TAP") -> Column:
     """Fast lane of a dialogue: a tap before and a middling change."""
-    return (last_action == "STORY_TAP") & distance.between(5, 25)
+    return F.coalesce((last_action == tap) & distance.between(5, 25), F.lit(False))
 
 
 def verified(df: DataFrame, key: str, action: str, signal: str, least: float = 5) -> DataFrame:

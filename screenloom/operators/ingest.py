@@ -1,4 +1,4 @@
-"""Upserts, conditional inserts, migrations, counters and cascades as joins of state and batch (M1-M11, U1-U7 of the inventory).
+"""Upserts, conditional inserts, migrations, counters and cascades as joins of state and batch (A12, J18, M1-M11, U1-U2, U5-U6, X3 of the inventory).
 
 State and batch are DataFrames; each function returns the new state or the rows to append. Tables may be empty; null
 keys are never equal to anything and are appended as they are.
@@ -6,6 +6,8 @@ keys are never equal to anything and are appended as they are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +99,35 @@ def set_status(state: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return state.join(d, key, "left").withColumns({"status": F.when(F.col("_e").isNotNull(), "completed").otherwise(F.col("status")), "screens_found": F.coalesce("_n", "screens_found"), "ended_at": F.coalesce("_e", "ended_at")}).drop("_n", "_e")
 
 
+def known(df: DataFrame, keys: list[str], seen: DataFrame, out: str = "known") -> DataFrame:
+    """df with a flag for the rows whose key was seen before (U6). Null keys weren't."""
+    s = seen.select(*keys).dropna().distinct().withColumn(out, F.lit(True))
+    return df.join(s, keys, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+
+
+def teach(state: DataFrame, taught: DataFrame, key: str, ts: str, source: str = "human_solved") -> DataFrame:
+    """State with taught actions: of each key the latest, in place of what was there, marked with its source; counters
+    start anew (X3). taught: the columns of state but source."""
+    cols = [c for c in state.columns if c not in (key, "source")]
+    latest = taught.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(ts, *cols)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in cols], F.lit(source).alias("source"))
+    return state.join(latest.select(key), key, "left_anti").unionByName(latest)
+
+
+def owned_window(windows: DataFrame, key: str, candidates: list[str]) -> DataFrame:
+    """(key, id, by): of each key's windows the one whose owner is a candidate, the first candidate first, else the first
+    whose owner and title contain one, whatever their case; ties by id (J18)."""
+    owner, both = F.lower(F.coalesce("owner", F.lit(""))), F.lower(F.concat_ws(" ", F.coalesce("owner", F.lit("")), F.coalesce("title", F.lit(""))))
+    rank = F.coalesce(*[F.when(owner == c.lower(), F.lit(i)) for i, c in enumerate(candidates)])
+    part = F.when(reduce(lambda a, b: a | b, (both.contains(c.lower()) for c in candidates)), F.lit(len(candidates)))
+    best = F.min(F.struct(F.coalesce(rank, part).alias("r"), "id")).alias("b")
+    return windows.where(F.coalesce(rank, part).isNotNull()).groupBy(key).agg(best).select(key, F.col("b.id").alias("id"), F.when(F.col("b.r") < len(candidates), "owner").otherwise("title").alias("by"))
+
+
+def several_joined(texts: Column, sep: str = " / ") -> Column:
+    """Texts of over one character, joined."""
+    return F.array_join(F.filter(texts, lambda t: F.length(t) > 1), sep)
+
+
 def joined_texts(items: DataFrame, key: str, text: str, pos: str, sep: str = " ") -> DataFrame:
     """Texts of a key in order, joined (A12). The result is one cell per key, so a key's texts meet in one task."""
     return items.where(F.col(text).isNotNull()).groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(pos, text))), lambda x: x[text]), sep).alias("joined"))

@@ -1,4 +1,4 @@
-"""Ordered rule lists over texts: keyword gates, best and first matches, predictions, scenes, decision lists."""
+"""Ordered rule lists over texts: keyword gates, best and first matches, predictions, scenes, decision lists."""
 
 from __future__ import annotations
 
@@ -16,6 +16,15 @@ PREDICTIONS = {
     "スキル": "SKILL_USE", "OK": "CONFIRM", "閉じる": "CLOSE_DIALOG", "確認": "CONFIRM", "完了": "COMPLETE", "決定": "CONFIRM", "了解": "CONFIRM", "わかった": "CONFIRM", "リザルト": "RESULT", "Result": "RESULT", "ホーム": "GO_HOME",
     "メニュー": "OPEN_MENU", "クエスト": "OPEN_QUEST", "ショップ": "OPEN_SHOP", "編成": "OPEN_FORMATION",
 }
+#: Keyword -> what is said of the tap.
+DESCRIPTIONS = {
+    "ガシャ": "召喚演出・アイテム獲得シーンが発生する", "ガチャ": "召喚演出・アイテム獲得シーンが発生する", "召喚": "召喚演出が発生する", "受け取る": "アイテム受け取り処理が実行される", "獲得": "アイテム獲得処理が実行される",
+    "次へ": "シーンが遷移してストーリーが進む", "スキップ": "ストーリーシーンがスキップされる", "SKIP": "ストーリーシーンがスキップされる", "進む": "シーンが遷移する", "TAP TO": "シーンが進む", "START": "ゲームまたはバトルが開始する",
+    "開始": "バトルまたはクエストが開始する", "出撃": "クエストが開始しバトル画面へ遷移する", "戦闘": "クエストが開始しバトル画面へ遷移する", "AUTO": "バトルがAUTOモードで自動進行する", "攻撃": "戦闘ターンが進行する", "通常攻撃": "通常攻撃が実行される",
+    "必殺技": "必殺技演出が発生し大ダメージが入る", "スキル": "スキルが発動する", "OK": "確認ダイアログが閉じてメニューに戻る", "閉じる": "ダイアログが閉じる", "確認": "確認処理が実行される", "完了": "処理が完了してメニューに戻る",
+    "決定": "選択が確定される", "了解": "確認ダイアログが閉じる", "わかった": "確認ダイアログが閉じる", "リザルト": "バトル結果画面が表示される", "Result": "バトル結果画面が表示される", "ホーム": "ホーム画面に戻る",
+    "メニュー": "メニューが開く", "クエスト": "クエスト選択画面へ遷移する", "ショップ": "ショップ画面へ遷移する", "編成": "パーティ編成画面へ遷移する",
+}
 #: Keywords of scenes, in the order in which they are tried, and the wait in seconds for each scene.
 SCENES = [
     ("LOADING", ["ダウンロード", "Loading", "Now Loading", "ロード中", "通信中"]),
@@ -99,11 +108,56 @@ def decision(rules: list[tuple[str, Column]], default: str) -> Column:
     return out.otherwise(default)
 
 
-def triggered(df: DataFrame, text: str, rules: DataFrame) -> DataFrame:
-    """Every rule (rule_id, keywords array) that a row's text triggers, in the order of rule_id (P17, X1). Rules are a
-    configuration; over 10,000 of them are refused."""
-    listed = [r.asDict() for r in rules.orderBy("rule_id").limit(10_001).collect()]
-    if len(listed) > 10_000:
-        raise ValueError("more than 10,000 rules")
-    fired = F.array(*[F.when(contains_any(F.col(text), list(r["keywords"])), F.lit(r["rule_id"])) for r in listed]) if listed else F.expr("cast(array() as array<int>)")
-    return df.withColumn("rule_id", F.explode(F.filter(fired, lambda x: x.isNotNull())))
+def triggered(df: DataFrame, text: str, rules: DataFrame, chunk: int = 500) -> DataFrame:
+    """Every rule (rule_id, keywords array) that a row's text triggers (P17, X1). Rules are a configuration; any number
+    of them is compiled, `chunk` of them to a pass over the rows."""
+    listed = [r.asDict() for r in rules.orderBy("rule_id").collect()]
+    out = None
+    for i in range(0, max(1, len(listed)), chunk):
+        part = listed[i : i + chunk]
+        fired = F.array(*[F.when(contains_any(F.col(text), list(r["keywords"])), F.lit(r["rule_id"])) for r in part]) if part else F.expr("cast(array() as array<int>)")
+        rows = df.withColumn("rule_id", F.explode(F.filter(fired, lambda x: x.isNotNull())))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def surest(items: DataFrame, key: str, keywords: list[str], least: float) -> DataFrame:
+    """(key, best): the surest item of the first keyword that has one, the first by id on ties (P12-P15), over rows instead
+    of arrays: a hot key costs one row per task. Items without text or of less confidence than `least` don't count."""
+    ok = (F.col("text") != "") & (F.col("confidence") >= least)
+    best = [F.max(F.when(ok & F.col("text").contains(k), F.struct("confidence", -F.col("id"), F.col("text").alias("t"))))["t"] for k in keywords]
+    return items.groupBy(key).agg(F.coalesce(*best).alias("best"))
+
+
+def confident(items: Column, least: float) -> Column:
+    """Items with text and enough confidence (P12). items: array of struct(text, confidence)."""
+    return F.filter(items, lambda r: (r["confidence"] >= least) & (r["text"] != ""))
+
+
+def repeated(texts: Column, word: str, least: int) -> Column:
+    """Whether a text occurs exactly, at least so many times."""
+    return F.size(F.filter(texts, lambda t: t == word)) >= least
+
+
+def best_template(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """The template of the highest score among those that reach their own threshold and whose gate is open; the first by
+    template_id on ties (D7, X2). scores: keys, template_id, score, threshold, open."""
+    ok = scores.where((F.col("score") >= F.col("threshold")) & F.col("open"))
+    return ok.groupBy(*keys).agg(F.max(F.struct("score", (-F.col("template_id")).alias("o"))).alias("b")).select(*keys, (-F.col("b.o")).alias("template_id"), F.col("b.score").alias("score"))
+
+
+def prediction(c: Column) -> Column:
+    """struct(action, description) of what a tap leads to."""
+    order = sorted(DESCRIPTIONS, key=lambda k: -len(k))
+    words = F.coalesce(*[F.when(c.contains(k), F.lit(DESCRIPTIONS[k])) for k in order], F.lit("未知の操作が実行される"))
+    return F.struct(predicted(c).alias("action"), words.alias("description"))
+
+
+def other_than(c: Column, words: list[str], prefixes: list[str] = (), parts: list[str] = ()) -> Column:
+    """Texts that are none of the words, begin with no prefix and contain no part."""
+    bad = c.isin(list(words))
+    for p in prefixes:
+        bad = bad | c.startswith(p)
+    for p in parts:
+        bad = bad | c.contains(p)
+    return ~bad

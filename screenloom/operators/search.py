@@ -1,14 +1,14 @@
-"""Search, coverage, panels and details over screens and sessions (A1-A7, J1-J9, O1-O8, P1-P12 of the inventory)."""
+"""Search, coverage, lists, panels and details over screens and sessions (A1-A7, A16, J1-J9, O1-O8, P1-P11, P19 of the inventory)."""
 
 from __future__ import annotations
 
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import like_ascii
+from ..functions.text import like_ascii, session_dir
 
 #: Most rows that a search returns, and that a list of a project returns.
 SEARCH_LIMIT, LIST_LIMIT = 100, 500
@@ -78,7 +78,7 @@ def ranked(screens: DataFrame, keyword: str, limit: int = 20) -> DataFrame:
     weights = [0.0 if not totals[f"_df{i}"] else math.log10(totals["_n"] / totals[f"_df{i}"]) ** 2 for i in range(len(asked))]
     relevance = reduce(lambda a, b: a + b, [F.col(f"_tf{i}") * F.lit(w) for i, w in enumerate(weights)])
     some = reduce(lambda a, b: a | b, [F.col(f"_tf{i}") > 0 for i in range(len(asked))])
-    return counted.where(some).withColumn("relevance", F.round(relevance, 6)).drop(*[f"_tf{i}" for i in range(len(asked))]).orderBy(F.desc("relevance"), F.desc("id")).limit(clamp(limit, SEARCH_LIMIT))
+    return counted.where(some).withColumn("relevance", F.round(relevance, 6)).drop(*[f"_tf{i}" for i in range(len(asked))]).orderBy(F.desc("relevance"), F.desc_nulls_last("discovered_at"), F.desc("id")).limit(clamp(limit, SEARCH_LIMIT))
 
 
 def coverage(screens: DataFrame, by: str | None = None) -> DataFrame:
@@ -123,3 +123,89 @@ def image_type(path: Column, roots: list[str]) -> Column:
     mime = F.when(ext == "png", "image/png").when(ext.isin("jpg", "jpeg"), "image/jpeg").when(ext == "webp", "image/webp").when(ext == "gif", "image/gif")
     inside = reduce(lambda a, b: a | b, [path.startswith(r) for r in roots], F.lit(False))
     return F.when(inside & ~path.contains(".."), mime)
+
+
+def by_id(df: DataFrame, row_id: int) -> DataFrame:
+    """The row of an id (P9); ids are positive. The filter reaches the scan."""
+    if row_id <= 0:
+        raise ValueError("an id is positive")
+    return df.where(F.col("id") == row_id).limit(1)
+
+
+def filtered(rows: DataFrame, title: str | None = None, keyword: str | None = None) -> DataFrame:
+    """Rows whose name or text contains each of the given strings, whatever their case (P8). '' and '0' don't count as
+    given; % and _ are plain characters."""
+    text = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    found = [text("name").contains(k.lower()) | text("ocr_text").contains(k.lower()) for k in (title, keyword) if k not in (None, "", "0")]
+    return rows.where(all_of(*found))
+
+
+def with_games(screens: DataFrame, games: DataFrame) -> DataFrame:
+    """Screens whose game is in the catalogue, with its id and platform (J1). games: id, name, platform; unique names."""
+    g = games.select(F.col("name").alias("game_title"), F.col("id").alias("game_id"), "platform")
+    return screens.join(g, "game_title")
+
+
+def elements(items: DataFrame, names: DataFrame) -> DataFrame:
+    """Elements with the name of the screen they lead to, null if there is none, and their place on their screen by y,
+    x and id (J4, O4). items: id, screen_id, bbox_x, bbox_y, navigates_to; names: id, name."""
+    n = names.select(F.col("id").alias("navigates_to"), F.col("name").alias("target_name"))
+    place = F.row_number().over(Window.partitionBy("screen_id").orderBy("bbox_y", "bbox_x", "id"))
+    return items.join(n, "navigates_to", "left").withColumn("place", place)
+
+
+def items_of_screen(items: DataFrame, screen_id: int) -> DataFrame:
+    """A screen's items in order of id (J9). The filter reaches the scan."""
+    return items.where(F.col("screen_id") == screen_id).orderBy("id")
+
+
+def item_counts(screens: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, n_items, best) of every screen (J9); items are counted per screen before they are joined."""
+    n = items.groupBy(F.col("screen_id").alias("id")).agg(F.count("*").alias("n_items"), F.max("confidence").alias("best"))
+    return screens.select("id").join(n, "id", "left").select("id", F.coalesce("n_items", F.lit(0)).alias("n_items"), "best")
+
+
+def project_list(projects: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+    """The first rows of project_screens() by depth, time and fingerprint (O3)."""
+    return projects.orderBy(F.asc_nulls_last("min_depth"), F.asc_nulls_last("first_seen"), "fingerprint").limit(clamp(limit, LIST_LIMIT))
+
+
+def by_depth(screens: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+    """The first screens by depth and title, in order of position on ties."""
+    return screens.orderBy(F.asc_nulls_last("depth"), F.asc_nulls_last("title"), "id").limit(clamp(limit, LIST_LIMIT))
+
+
+def most_urgent(df: DataFrame, priority: str, area: str, limit: int = 20) -> DataFrame:
+    """Candidates of the highest priority, the largest first among equals (O8); ties by id."""
+    return df.orderBy(F.desc(priority), F.desc(area), "id").limit(clamp(limit, SEARCH_LIMIT))
+
+
+def titles(sessions: DataFrame) -> DataFrame:
+    """Distinct titles (A4)."""
+    return sessions.where("game_title is not null").select("game_title").distinct()
+
+
+def panel(sessions: DataFrame, games: DataFrame) -> DataFrame:
+    """Crawl sessions with their game and folder (J2). Whether the games are broadcast is left to their measured size."""
+    g = games.select(F.col("id").alias("game_id"), F.col("name").alias("game_name"), "platform")
+    return sessions.join(g, "game_id").select("id", "game_name", "platform", "status", "screens_found", "ended_at", F.coalesce(session_dir(F.col("ended_at")), F.lit("running")).alias("session_dir"))
+
+
+def newest(panel_: DataFrame, limit: int = 20) -> DataFrame:
+    """Panel rows by end, running ones last (O1)."""
+    return panel_.orderBy(F.desc_nulls_last("ended_at"), F.desc("id")).limit(clamp(limit, SEARCH_LIMIT))
+
+
+def running(sessions: DataFrame, by: str) -> DataFrame:
+    """Running, completed and all sessions per key."""
+    return sessions.groupBy(by).agg(F.count_if(F.col("status") == "running").alias("running"), F.count_if(F.col("status") == "completed").alias("completed"), F.count("*").alias("total"))
+
+
+#: Icons of states and device modes.
+STATUS_ICONS = {"running": "🟢", "completed": "✅", "failed": "❌", "paused": "⏸"}
+MODE_ICONS = {"MIRROR": "📡", "SIMULATOR": "🖥"}
+
+
+def icon(c: Column, icons: dict[str, str]) -> Column:
+    """Icon of a value, '' for others and null."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in icons.items() for x in kv]), c), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ["integrity_queries", "hierarchy_queries", "instant_queries", "relational_queries", "text_queries", "structure_queries", "stream_queries"]
+MODULES = ["integrity_queries", "hierarchy_queries", "instant_queries", "relational_queries", "text_queries", "structure_queries", "detail_queries", "stream_queries"]
 
 
 def _all(what: str) -> dict:

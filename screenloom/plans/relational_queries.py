@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..operators import ingest, search
 from ..session import table
 
@@ -48,21 +47,19 @@ def coverage_missing_game(spark, d):
 
 @query("SELECT DISTINCT game_title FROM lc_sessions WHERE game_title IS NOT NULL")
 def game_titles(spark, d):
-    return table(spark, d, "lc_sessions").where("game_title is not null").select("game_title").distinct()
+    return search.titles(table(spark, d, "lc_sessions"))
 
 
 _PANEL = "SELECT c.id, g.name AS game_name, g.platform, c.status, c.screens_found, c.ended_at, CASE WHEN c.ended_at IS NULL THEN 'running' ELSE strftime(c.ended_at, '%Y%m%d_%H%M%S') END AS session_dir FROM crawl_sessions c JOIN games g ON g.id = c.game_id"
 
 
 def _panel(spark, d):
-    # the games of a catalogue are few, but not by any rule: whether they are broadcast is left to their measured size
-    c, g = table(spark, d, "crawl_sessions"), table(spark, d, "games").select(F.col("id").alias("game_id"), F.col("name").alias("game_name"), "platform")
-    return c.join(g, "game_id").select("id", "game_name", "platform", "status", "screens_found", "ended_at", F.coalesce(tx.session_dir(F.col("ended_at")), F.lit("running")).alias("session_dir"))
+    return search.panel(table(spark, d, "crawl_sessions"), table(spark, d, "games"))
 
 
 @query(_PANEL + " ORDER BY c.ended_at DESC NULLS LAST, c.id DESC LIMIT 20")
 def session_panel(spark, d):
-    return _panel(spark, d).orderBy(F.desc_nulls_last("ended_at"), F.desc("id")).limit(20)
+    return search.newest(_panel(spark, d))
 
 
 @query(_PANEL + " WHERE g.platform = 'android' AND c.status = 'failed'")
@@ -72,7 +69,7 @@ def session_panel_filtered(spark, d):
 
 @query("SELECT device_id, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'completed') AS completed, count(*) AS total FROM crawl_sessions GROUP BY 1")
 def running_badge(spark, d):
-    return table(spark, d, "crawl_sessions").groupBy("device_id").agg(F.count_if(F.col("status") == "running").alias("running"), F.count_if(F.col("status") == "completed").alias("completed"), F.count("*").alias("total"))
+    return search.running(table(spark, d, "crawl_sessions"), "device_id")
 
 
 @query(_S + f"SELECT id, session_id, title, discovered_at, game_title FROM scr WHERE {_FOLD.format('title')} LIKE '%rank_1%' OR {_FOLD.format('ocr_text')} LIKE '%rank_1%'")
@@ -99,15 +96,15 @@ def search_default_title(spark, d):
 @query("""WITH t AS (SELECT id, string_split(lower(coalesce(ocr_text, '')), ' ') AS w FROM lc_screens),
 c AS (SELECT id, len(list_filter(w, lambda x: x = 'confirm')) AS a, len(list_filter(w, lambda x: starts_with(x, 'can'))) AS b FROM t),
 n AS (SELECT count(*) AS n, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c)
-SELECT id, round(coalesce(a * pow(log10(n / nullif(da, 0)), 2), 0) + coalesce(b * pow(log10(n / nullif(db, 0)), 2), 0), 6) AS relevance FROM c, n WHERE a > 0 OR b > 0 ORDER BY relevance DESC, id DESC LIMIT 50""")
+SELECT id, round(coalesce(a * pow(log10(n / nullif(da, 0)), 2), 0) + coalesce(b * pow(log10(n / nullif(db, 0)), 2), 0), 6) AS relevance FROM c JOIN lc_screens USING (id), n WHERE a > 0 OR b > 0 ORDER BY relevance DESC, discovered_at DESC NULLS LAST, id DESC LIMIT 50""")
 def search_prefix_rank(spark, d):
     return search.ranked(table(spark, d, "lc_screens"), "confirm can", 50).select("id", "relevance")
 
 
-@query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), lower('The Back')) OR contains(lower(text), 'スキル')")
+@query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'the ') AND (contains(lower(text), 'map') OR contains(lower(game_title), 'map'))")
 def search_literal_ci(spark, d):
-    t = F.lower("text")
-    return table(spark, d, "documents").where(t.contains("the back") | t.contains("スキル")).select("doc_id", "lang")
+    rows = table(spark, d, "documents").select("doc_id", "lang", F.col("game_title").alias("name"), F.col("text").alias("ocr_text"))
+    return search.filtered(rows, "map", "The ").where(F.lower("ocr_text").contains("the ")).select("doc_id", "lang")
 
 
 @query("""WITH b AS (SELECT fingerprint, min(id) AS first_id, min(depth) AS min_depth, min(discovered_at) AS first_seen FROM lc_screens GROUP BY 1),
@@ -119,9 +116,7 @@ def project_screens(spark, d):
 
 @query("SELECT s.id, count(i.id) AS n_items, round(coalesce(max(i.confidence), -1), 6) AS best FROM lc_screens s LEFT JOIN lc_tappable_items i ON i.screen_id = s.id GROUP BY s.id")
 def screen_items(spark, d):
-    """Items are counted per screen before they are joined, so the screen that holds a tenth of them is one row."""
-    items = table(spark, d, "lc_tappable_items").groupBy(F.col("screen_id").alias("id")).agg(F.count("*").alias("n_items"), F.max("confidence").alias("best"))
-    return table(spark, d, "lc_screens").select("id").join(items, "id", "left").select("id", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.round(F.coalesce("best", F.lit(-1.0)), 6).alias("best"))
+    return search.item_counts(table(spark, d, "lc_screens"), table(spark, d, "lc_tappable_items")).select("id", "n_items", F.round(F.coalesce("best", F.lit(-1.0)), 6).alias("best"))
 
 
 @query("SELECT s.id, coalesce((SELECT min(p.id) FROM lc_screens p WHERE p.session_id = s.session_id AND p.fingerprint = s.parent_fp), -1) AS parent_id FROM lc_screens s")

@@ -42,13 +42,14 @@ SELECT event_id AS id, round(dist, 6) AS dist, n - start AS unchanged, CAST(t -
 
 
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly counts per action; complete mode, so that the last windows are there, too."""
+    """Hourly counts per action; complete mode, so that the last windows are there, too. Each batch writes the whole
+    result anew to a table in the shared folder."""
     path = shared_path(spark, "counts")
     c = monitor.action_counts(_frames(spark, d))
-    name = "counts_" + path.rpartition("-")[2]
-    q = c.writeStream.format("memory").queryName(name).option("checkpointLocation", path).outputMode("complete").trigger(availableNow=True).start()
+    q = c.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{path}/{i % 2}")).option("checkpointLocation", path + "-state").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "action", "n", F.round("total", 6).alias("total"))
+    last = max((p["batchId"] for p in q.recentProgress if p["numInputRows"]), default=0)
+    return spark.read.schema(c.schema).parquet(f"{path}/{last % 2}").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "action", "n", F.round("total", 6).alias("total"))
 
 
 QUERIES["stream_counts"] = stream_counts
@@ -82,4 +83,9 @@ def tidy_paths(spark: SparkSession, d: str) -> DataFrame:
     return writers.tidy_paths(chains).select(F.col("scope").alias("session_id"), F.col("node").alias("fingerprint"), "dest_path")
 
 
+_SLUG = "coalesce(nullif(trim(left(regexp_replace(coalesce(n.title, 'unknown'), '[\\\\/:*?\"<>|\\s\\x{00A0}\\x{3000}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{1680}\\x{85}]', '_', 'g'), 30), '_'), ''), 'unknown')"
+ORACLES["tidy_paths"] = f"""WITH RECURSIVE n AS (SELECT * FROM lc_screens s WHERE id = (SELECT max(id) FROM lc_screens t WHERE t.session_id = s.session_id AND t.fingerprint = s.fingerprint)),
+t AS (SELECT session_id, fingerprint, {_SLUG} AS last, {_SLUG} AS dirs FROM n WHERE NOT EXISTS (SELECT 1 FROM n p WHERE p.session_id = n.session_id AND p.fingerprint = nullif(n.parent_fp, ''))
+UNION ALL SELECT n.session_id, n.fingerprint, {_SLUG}, t.dirs || '/' || {_SLUG} FROM t JOIN n ON n.session_id = t.session_id AND n.parent_fp = t.fingerprint)
+SELECT session_id, fingerprint, dirs || '/' || left(fingerprint, 8) || '_' || last || '.png' AS dest_path FROM t"""
 QUERIES |= {"summary_json": summary_json, "tree_json": tree_json, "api_json": api_json, "anomaly_json": anomaly_json, "tidy_paths": tidy_paths}

@@ -165,7 +165,7 @@ def graph_tap_map(spark, d):
 s AS (SELECT t.session_id, t.fingerprint, t.d, u.k, string_split(t.path, '/')[u.k] AS step FROM t, LATERAL (SELECT unnest(range(2, t.d + 2)) AS k) u WHERE t.d > 0)
 SELECT s.session_id, s.fingerprint, coalesce(CASE WHEN count(ok.fingerprint) = max(s.d) THEN string_agg(n.title, '>' ORDER BY s.k) END, '-') AS recipe FROM s JOIN n ON n.session_id = s.session_id AND n.fingerprint = s.step LEFT JOIN ok ON ok.session_id = s.session_id AND ok.fingerprint = s.step GROUP BY ALL""")
 def nav_recipe(spark, d):
-    """Titles to tap from the root on; items are known of screens down to stored depth 3 of the child."""
+    """Titles to tap from the root on; a title can be tapped where the child's stored depth is known to be 3 or less."""
     n = _nodes(spark, d)
     taps = n.where("parent_fp <> '' and title is not null").select(F.col("session_id").alias("scope"), F.col("parent_fp").alias("parent"), F.col("title").alias("text"), F.col("fingerprint").alias("child"), F.col("id").alias("seq"), "depth")
     items = taps.where("depth <= 3").select("scope", F.col("parent").alias("node"), F.concat_ws("|", "child", "text").alias("text"))
@@ -174,17 +174,29 @@ def nav_recipe(spark, d):
     return r.select(F.col("scope").alias("session_id"), F.col("node").alias("fingerprint"), F.coalesce(F.array_join(cut, ">"), F.lit("-")).alias("recipe"))
 
 
-@query()
+_IT = "(SELECT n.*, (SELECT count(*) FROM lc_tappable_items i WHERE i.screen_id = n.id) AS c FROM n)"
+_ITEMS = "c || CASE WHEN c = 1 THEN ' item' ELSE ' items' END"
+
+
+@query(_N + f""", k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id, fingerprint) - 1 AS k FROM {_IT} x WHERE fingerprint IS NOT NULL),
+l AS (SELECT DISTINCT session_id, 0 AS part, 0 AS a, 0 AS b, 'graph TD' AS line FROM k
+UNION ALL SELECT session_id, 1, k, 0, '    n' || k || '["' || CASE WHEN title = 'unknown' THEN '❓unknown' ELSE coalesce(title, '') END || ' (d=' || coalesce(depth, 0) || ') | ' || {_ITEMS} || '"]' FROM k
+UNION ALL SELECT y.session_id, 2, y.k, x.k, '    n' || x.k || ' --> n' || y.k FROM k y JOIN k x ON x.session_id = y.session_id AND x.fingerprint = y.parent_fp WHERE y.parent_fp <> ''
+UNION ALL SELECT session_id, 3, k, 0, '    style n' || k || ' fill:#ffcccc' FROM k WHERE title = 'unknown')
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY part, a, b, line) AS line_no, line FROM l""")
 def mermaid_lines(spark, d):
     n = graph.nodes(_with_items(spark, d), "session_id", "fingerprint", "id", "title", "depth", "parent_fp", "n_items").fillna({"title": "", "depth": 0})
-    return graph.mermaid_lines(n, graph.edges(n, "session_id", "fingerprint", "parent_fp"), "session_id", "fingerprint", "id")
+    lines = graph.mermaid_lines(n, graph.edges(n, "session_id", "fingerprint", "parent_fp"), "session_id", "fingerprint", "id")
+    return lines.withColumn("line_no", F.col("line_no").cast("long"))
 
 
-@query()
+@query(_N + f""", w AS (SELECT * FROM {_IT} x), t AS (SELECT session_id, fingerprint, title, c, [id] AS key, 0 AS d FROM w WHERE fingerprint IS NOT NULL AND NOT EXISTS (SELECT 1 FROM n p WHERE p.session_id = w.session_id AND p.fingerprint = nullif(w.parent_fp, ''))
+UNION ALL SELECT w.session_id, w.fingerprint, w.title, w.c, list_append(t.key, w.id), t.d + 1 FROM t JOIN w ON w.session_id = t.session_id AND w.parent_fp = t.fingerprint)
+SELECT session_id AS scope, row_number() OVER (PARTITION BY session_id ORDER BY key, fingerprint) AS line_no, repeat('  ', d) || CASE WHEN title = 'unknown' THEN '❓ unknown' ELSE coalesce(title, '') END || ' [depth=' || d || '] (' || {_ITEMS} || ')' || CASE WHEN title = 'unknown' THEN '  ← unknown' WHEN c <= 1 AND d > 0 THEN '  ⚠ few items' ELSE '' END AS line FROM t""")
 def tree_lines(spark, d):
     n = graph.nodes(_with_items(spark, d), "session_id", "fingerprint", "id", "title", "n_items")
     shown = n.select(F.col("session_id").alias("scope"), F.col("fingerprint").alias("node"), F.col("id").alias("pos"), "title", "n_items")
-    return graph.tree_lines(_placed(spark, d), shown)
+    return graph.tree_lines(_placed(spark, d), shown).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 # Frames: events of a user in order.
@@ -210,7 +222,7 @@ def _islands(spark, d):
 @query(_E + "SELECT event_id AS id, round(dist, 6) AS dist, coalesce(last_action = 'click' AND dist BETWEEN 5 AND 25, FALSE) AS rapid FROM g")
 def frame_change(spark, d):
     f = _islands(spark, d)
-    return f.select("id", F.round("dist", 6).alias("dist"), F.coalesce((F.col("last_action") == "click") & F.col("dist").between(5, 25), F.lit(False)).alias("rapid"))
+    return f.select("id", F.round("dist", 6).alias("dist"), frames.rapid(F.col("dist"), F.col("last_action"), "click").alias("rapid"))
 
 
 @query(_E + "SELECT event_id AS id, CAST(island AS BIGINT) AS island, n - start AS unchanged, since, n - start >= 3 AS forced FROM i")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from ..functions import phash
 from ..functions import text as tx
 from ..operators import ingest, rules
 from ..session import table
@@ -24,18 +25,20 @@ def query(sql: str | None = None):
 
 
 def boxes(spark, d):
-    """(screen_id, boxes): lines of an order as recognised texts of a screen."""
+    """(screen_id, boxes): lines of an order as recognised texts of a screen; some are chevrons, action words or never titles."""
     x, y = (F.col("l_partkey") % 900).cast("int"), (F.col("l_suppkey") * 17 % 1800).cast("int")
     w, h = (20 + F.col("l_quantity") * 3).cast("int"), (10 + F.col("l_quantity") * 2).cast("int")
     points = F.array(F.array(x, y), F.array(x + w, y), F.array(x + w, y + h), F.array(x, y + h))
-    text = F.concat("l_returnflag", F.lit(" "), "l_linestatus", (F.col("l_partkey") % 5).cast("string"))
+    kind = F.col("l_partkey") % 11
+    text = F.when(kind == 0, ">").when(kind == 1, "OK").when(kind == 2, "戻る").otherwise(F.concat("l_returnflag", F.lit(" "), "l_linestatus", (F.col("l_partkey") % 5).cast("string")))
     item = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("k"), text.alias("text"), F.round(1 - F.col("l_discount") * 3, 2).alias("confidence"), points.alias("box"), geo.center(points).alias("center"))
     arr = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("screen_id")).agg(F.sort_array(F.collect_list(item)).alias("b"))
     return arr.select("screen_id", F.transform("b", lambda r: F.struct(r["text"].alias("text"), r["confidence"].alias("confidence"), r["box"].alias("box"), r["center"].alias("center"))).alias("boxes"))
 
 
-_B = """WITH l AS (SELECT l_orderkey AS screen_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag || ' ' || l_linestatus || (l_partkey % 5), round(1 - l_discount * 3, 2), l_suppkey * 17 % 1800, l_quantity) AS n, l_returnflag || ' ' || l_linestatus || (l_partkey % 5) AS text, round(1 - l_discount * 3, 2) AS conf,
- CAST(l_partkey % 900 AS INT) AS x, CAST(l_suppkey * 17 % 1800 AS INT) AS y, CAST(trunc(20 + l_quantity * 3) AS INT) AS w, CAST(trunc(10 + l_quantity * 2) AS INT) AS h FROM lineitem),
+_B = """WITH t AS (SELECT *, CASE l_partkey % 11 WHEN 0 THEN '>' WHEN 1 THEN 'OK' WHEN 2 THEN '戻る' ELSE l_returnflag || ' ' || l_linestatus || (l_partkey % 5) END AS text FROM lineitem),
+l AS (SELECT l_orderkey AS screen_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, text, round(1 - l_discount * 3, 2), l_suppkey * 17 % 1800, l_quantity) AS n, text, round(1 - l_discount * 3, 2) AS conf,
+ CAST(l_partkey % 900 AS INT) AS x, CAST(l_suppkey * 17 % 1800 AS INT) AS y, CAST(trunc(20 + l_quantity * 3) AS INT) AS w, CAST(trunc(10 + l_quantity * 2) AS INT) AS h FROM t),
 b AS (SELECT *, CAST(trunc((4 * x + 2 * w) / 4) AS INT) AS cx, CAST(trunc((4 * y + 2 * h) / 4) AS INT) AS cy, CAST(trunc(max(y + h) OVER (PARTITION BY screen_id) * 1.05::DOUBLE) AS INT) AS sh, CAST(trunc(max(x + w) OVER (PARTITION BY screen_id) * 1.05::DOUBLE) AS INT) AS sw FROM l) """
 
 
@@ -54,7 +57,7 @@ def fingerprint_text(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", tx.fingerprint_of_lines(F.split("text", "\n")).alias("fp"))
 
 
-@query(_B + """, base AS (SELECT * FROM b WHERE conf > 0.8 AND length(text) BETWEEN 2 AND 20 AND cy > sh * 0.05::DOUBLE),
+@query(_B + """, base AS (SELECT * FROM b WHERE conf > 0.8 AND length(text) BETWEEN 2 AND 20 AND text <> '戻る' AND cy > sh * 0.05::DOUBLE),
 lg AS (SELECT screen_id, arg_max(text, row(h, -n)) AS t FROM base WHERE cy < sh * 0.30::DOUBLE AND h >= sh * 0.03::DOUBLE GROUP BY 1),
 nv AS (SELECT screen_id, arg_max(text, row(conf, -n)) AS t FROM base WHERE cy < sh * 0.20::DOUBLE AND cx >= sw * 0.20::DOUBLE AND cx <= sw * 0.80::DOUBLE GROUP BY 1)
 SELECT s.screen_id, coalesce(lg.t, nv.t, 'unknown') AS title FROM (SELECT DISTINCT screen_id FROM b) s LEFT JOIN lg USING (screen_id) LEFT JOIN nv USING (screen_id)""")
@@ -62,8 +65,10 @@ def title_extract(spark, d):
     return boxes(spark, d).select("screen_id", tx.screen_title(F.col("boxes")).alias("title"))
 
 
-@query(_B + """, p AS (SELECT screen_id, n, text, CASE WHEN conf < 0.8 OR cy < sh * 0.05::DOUBLE OR cx > sw * 0.85::DOUBLE THEN NULL WHEN cy > sh * 0.80::DOUBLE THEN 'footer'
- WHEN cy >= sh * 0.15::DOUBLE AND cy <= sh * 0.80::DOUBLE AND cx < sw * 0.80::DOUBLE AND length(text) BETWEEN 2 AND 20 AND h < sh * 0.03::DOUBLE AND NOT (cx > sw * 0.40::DOUBLE AND length(text) > 12) THEN 'content' END AS path FROM b)
+@query(_B + """, v AS (SELECT screen_id, list(cy) AS ys FROM b WHERE text = '>' AND cx > sw * 0.85::DOUBLE GROUP BY 1),
+p AS (SELECT screen_id, n, text, CASE WHEN conf < 0.8 OR cy < sh * 0.05::DOUBLE OR cx > sw * 0.85::DOUBLE OR text IN ('>', '戻る') THEN NULL WHEN text = 'OK' THEN 'action' WHEN cy > sh * 0.80::DOUBLE THEN 'footer'
+ WHEN len(list_filter(coalesce(ys, []), lambda c: abs(cy - c) <= sh * 0.04::DOUBLE)) > 0 THEN CASE WHEN h < sh * 0.03::DOUBLE THEN 'row' END
+ WHEN len(coalesce(ys, [])) < 5 AND cy >= sh * 0.15::DOUBLE AND cy <= sh * 0.80::DOUBLE AND cx < sw * 0.80::DOUBLE AND length(text) BETWEEN 2 AND 20 AND h < sh * 0.03::DOUBLE AND NOT (cx > sw * 0.40::DOUBLE AND length(text) > 12) THEN 'content' END AS path FROM b LEFT JOIN v USING (screen_id))
 SELECT screen_id, text, arg_min(path, n) AS path FROM p WHERE path IS NOT NULL GROUP BY ALL""")
 def tappable_paths(spark, d):
     return boxes(spark, d).select("screen_id", F.explode(tx.tappable_items(F.col("boxes"), 0.8)).alias("i")).select("screen_id", "i.text", "i.path")
@@ -89,7 +94,7 @@ def duration_minutes(spark, d):
 
 @query("SELECT doc_id, left(sha256(text), 32) AS hash FROM documents WHERE text IS NOT NULL")
 def content_hash(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.substring(F.sha2("text", 256), 1, 32).alias("hash"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", phash.content_hash(F.col("text")).alias("hash"))
 
 
 @query("SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped, CASE WHEN length(text) > 100 THEN left(text, 100) || '…' ELSE text END AS short, trim(regexp_replace(text, '<[^>]*>', '', 'g')) AS clean FROM documents")
@@ -149,10 +154,8 @@ def keyword_gates(spark, d):
 
 @query("""WITH m AS (SELECT screen_id, arg_max(text, row(confidence, -id)) FILTER (contains(text, 'Rank') AND confidence >= 0.7) AS a, arg_max(text, row(confidence, -id)) FILTER (contains(text, 'ード') AND confidence >= 0.7) AS b FROM lc_tappable_items WHERE text IS NOT NULL AND confidence IS NOT NULL GROUP BY 1) SELECT screen_id, coalesce(a, b, '-') AS best FROM m""")
 def best_match(spark, d):
-    """Items of a screen as one array; the screen that holds a tenth of all items is cut down to its candidates first."""
     items = table(spark, d, "lc_tappable_items").where("text is not null and confidence is not null")
-    best = lambda k: F.max(F.when(F.col("text").contains(k) & (F.col("confidence") >= 0.7), F.struct("confidence", -F.col("id"), F.col("text").alias("t"))))["t"]
-    return items.groupBy("screen_id").agg(F.coalesce(best("Rank"), best("ード"), F.lit("-")).alias("best"))
+    return rules.surest(items, "screen_id", ["Rank", "ード"], 0.7).withColumn("best", F.coalesce("best", F.lit("-")))
 
 
 _RULES = [(1, ["設定", "Setting"]), (2, ["Rank", "ランク"]), (3, ["一覧", "確認"])]
@@ -202,9 +205,12 @@ def containment_texts(spark, d):
     return b.select("screen_id", "n").join(found, ["screen_id", "n"], "left").select("screen_id", "n", F.when(F.col("t").isNull(), 0).otherwise(F.size("t")).cast("long").alias("n_inside"), F.coalesce(F.array_join(F.transform("t", lambda x: x["text2"]), " "), F.lit("")).alias("texts"))
 
 
-@query()
+@query(_B.replace("WITH t", "WITH RECURSIVE t", 1) + """, o AS (SELECT screen_id // 64 AS image, text, screen_id * 100 + n AS id, x::DOUBLE AS x, y::DOUBLE AS y, w::DOUBLE AS w, h::DOUBLE AS h, row_number() OVER (PARTITION BY screen_id // 64, text ORDER BY conf DESC, screen_id * 100 + n) AS k FROM b),
+r AS (SELECT image, text, k, [{'x': x, 'y': y, 'w': w, 'h': h, 'id': id}] AS kept FROM o WHERE k = 1 UNION ALL SELECT o.image, o.text, o.k, CASE WHEN len(list_filter(kept, lambda e: greatest(0, least(e.x + e.w, o.x + o.w) - greatest(e.x, o.x)) * greatest(0, least(e.y + e.h, o.y + o.h) - greatest(e.y, o.y)) >= 0.4 * (e.w * e.h + o.w * o.h - greatest(0, least(e.x + e.w, o.x + o.w) - greatest(e.x, o.x)) * greatest(0, least(e.y + e.h, o.y + o.h) - greatest(e.y, o.y))))) = 0 THEN list_append(kept, {'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h, 'id': o.id}) ELSE kept END FROM r JOIN o ON o.image = r.image AND o.text = r.text AND o.k = r.k + 1)
+SELECT image, text, unnest(list_transform(kept, lambda e: e.id)) AS id FROM (SELECT image, text, arg_max(kept, k) AS kept FROM r GROUP BY ALL)""")
 def nms_greedy(spark, d):
-    b = _flat(spark, d).withColumn("image", F.col("screen_id") % 1000)
+    """Images are a few screens each, so their number grows with the tables and not their boxes."""
+    b = _flat(spark, d).withColumn("image", F.floor(F.col("screen_id") / 64))
     return ingest.nms(b.withColumn("id", F.col("screen_id") * 100 + F.col("n")), ["image", "text"])
 
 

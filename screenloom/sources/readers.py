@@ -21,10 +21,17 @@ def _documents(spark: SparkSession, paths: str | list[str], schema: str) -> Data
 
 
 def summaries(spark: SparkSession, evidence: str) -> DataFrame:
-    """One row per session summary under evidence/*/ (S1), with its path."""
+    """One row per session summary under evidence/*/ (S1), with its path. A file that can't be parsed is no session; see
+    broken()."""
     return _documents(spark, f"{evidence}/*/crawl_summary.json", schemas.SUMMARY).where("session_id is not null")
 
 
+def broken(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """(path, document): files that hold no JSON of the schema's fields, for a report beside what could be read."""
+    known = spark.read.schema(schema + ", _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(pattern)
+    return known.withColumn("path", F.col("_metadata.file_path")).where("_bad is not null").select("path", F.col("_bad").alias("document"))
+
+
 def screens_of(summaries_: DataFrame) -> DataFrame:
     """(session_id, pos, path, screen fields) of every screen of the summaries, in document order."""
     return summaries_.select("session_id", "path", "game_title", "device_mode", F.posexplode(F.coalesce("screens", F.expr(f"cast(array() as array<struct<{_ddl(schemas.SCREEN)}>>)"))).alias("pos", "s")).select("session_id", "path", "game_title", "device_mode", "pos", "s.*")
@@ -71,7 +78,9 @@ def knowledge(spark: SparkSession, folder: str, solved: str = "human_solved") ->
     for pattern in (f"{folder}/*.json", f"{folder}/{solved}/*.json"):
         try:
             df = _documents(spark, pattern, schemas.SOLUTION)
-        except PySparkException:
+        except PySparkException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             df = spark.createDataFrame([], schemas.SOLUTION + ", path string")
         parts.append(df.withColumn("hash", F.coalesce("hash", F.regexp_extract("path", r"([^/]+)\.json$", 1))))
     return by_priority(parts, "hash")
@@ -84,16 +93,25 @@ def with_profile(df: DataFrame, profiles: DataFrame, title: str = "game_title")
 
 
 def log_tail(spark: SparkSession, path: str, n: int) -> tuple[DataFrame, int]:
-    """The last n lines of a text file with their numbers, and how many there are (S12). The file is read as one
-    sequence of lines, in its own order."""
-    numbered = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0])).toDF("line_no long, line string")
-    total = numbered.count()
+    """The last n lines of the text files at path, in order of file and place, with their numbers, and how many there
+    are (S12). Lines are numbered within the parts of files that tasks read, from the number of lines before each part."""
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select(*at, F.monotonically_increasing_id().alias("o"), F.col("value").alias("line"))
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("c"), F.min("o").alias("first")).orderBy("file", "block").collect()  # a row per part
+    total, before = 0, []
+    for r in sizes:
+        before.append((r["file"], r["block"], r["first"], total))
+        total += r["c"]
+    begin = F.broadcast(spark.createDataFrame(before, "file string, block long, first long, before long"))
+    numbered = lines.join(begin, ["file", "block"]).select((F.col("o") - F.col("first") + F.col("before") + 1).alias("line_no"), "line")
     return numbered.where(F.col("line_no") > total - n), total
 
 
 def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    """Rows of a query on a database (S4); options as of Spark's JDBC source."""
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+    """Rows of a query on a database (S4); options as of Spark's JDBC source. One connection reads a query; with
+    partitionColumn, lowerBound, upperBound and numPartitions the query's rows are read by ranges, in parallel."""
+    source = {"dbtable": f"({query}) AS q"} if "partitionColumn" in options else {"query": query}
+    return spark.read.format("jdbc").options(url=url, **source, **options).load()
 
 
 def database_screens(rows: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
-"""Sinks (S13-S18): nested documents, API answers, reports. Documents are one JSON text per session; the cell holds a
+"""Sinks (S13-S19, A17, A19): nested documents, API answers, reports. Documents are one JSON text per session; the cell holds a
 session's screens, so its size is the session's."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slug
@@ -52,3 +52,34 @@ def markdown_list(tree_lines: DataFrame) -> DataFrame:
 def write_documents(documents: DataFrame, path: str) -> None:
     """One line of JSON per document."""
     documents.select(F.col("json").alias("value")).write.mode("overwrite").text(path)
+
+
+def session_counts(screens: DataFrame) -> DataFrame:
+    """Screens, items, links and greatest depth of each session, as reports head them (A17, A19). screens: n_items."""
+    return screens.groupBy("session_id").agg(F.count("*").alias("screens_found"), F.sum("n_items").alias("n_items"), F.count_if(F.coalesce("parent_fp", F.lit("")) != "").alias("n_links"), F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("max_depth"))
+
+
+def report_table(screens: DataFrame) -> DataFrame:
+    """(session_id, line_no, line): the rows of a session's screen table by depth and title, in order of id on ties (S16,
+    O6). screens: n_items."""
+    w = Window.partitionBy("session_id").orderBy(F.coalesce("depth", F.lit(0)), F.coalesce("title", F.lit("")), "id")
+    seen = F.coalesce(F.substring(F.nullif("discovered_at", F.lit("")), 1, 19), F.lit("-"))
+    cells = [F.col("line_no").cast("string"), F.coalesce("title", F.lit("")), F.coalesce("depth", F.lit(0)).cast("string"), F.concat(F.lit("`"), F.substring(F.coalesce("fingerprint", F.lit("")), 1, 8), F.lit("`")), F.concat("n_items", F.lit("件")), seen]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    return screens.withColumn("line_no", F.row_number().over(w)).select("session_id", "line_no", line.alias("line"))
+
+
+def tidy_counts(paths: DataFrame, there: DataFrame) -> DataFrame:
+    """One row: screenshots to copy and those whose place is taken already (S18). paths: of tidy_paths(); there: dest_path."""
+    t = there.select("dest_path").distinct().withColumn("_there", F.lit(True))
+    return paths.join(t, "dest_path", "left").agg(F.count_if(F.col("_there").isNull()).alias("copied"), F.count_if(F.col("_there").isNotNull()).alias("skipped"))
+
+
+def report(profiles: DataFrame, slug_: str, sessions: DataFrame, screens: DataFrame, log: DataFrame) -> DataFrame:
+    """(part, line_no, line): what a report of the title with that slug holds (S19): its profile, the newest session's
+    screens and the end of the log. profiles: title, platform; sessions: session_id, game_title, id; log: line_no, line."""
+    mine = profiles.where(slug(F.col("title")) == slug_).orderBy("title").limit(1)
+    head = mine.select(F.lit(0).alias("part"), F.lit(1).alias("line_no"), F.concat_ws(" ", "title", "platform").alias("line"))
+    newest = sessions.join(mine.select(F.col("title").alias("game_title")), "game_title").orderBy(F.desc("id")).limit(1).select("session_id")
+    body = report_table(screens.join(newest, "session_id")).select(F.lit(1).alias("part"), "line_no", "line")
+    return head.unionByName(body).unionByName(log.select(F.lit(2).alias("part"), F.col("line_no").cast("int").alias("line_no"), "line"))
