@@ -36,7 +36,7 @@ def ordered_sets(sets: DataFrame) -> DataFrame:
     tokens = checkpoint(sets.select("sid", F.explode("words").alias("w")).select("sid", F.xxhash64("w").alias("t")))
     counts = tokens.groupBy("t").agg(F.count("*").alias("n"))
     ranked = hot_join(tokens, counts, ["t"])
-    return ranked.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("x")).select("sid", F.transform("x", lambda x: x["t"]).alias("toks"))
+    return checkpoint(ranked.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("n", "t"))).alias("x")).select("sid", F.transform("x", lambda x: x["t"]).alias("toks")))
 
 
 def token_groups(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -60,10 +60,11 @@ def similar_pairs(sets: DataFrame, percent: int) -> DataFrame:
     held = matrix.select("gid", "least", "most", "last", F.explode("prefix").alias("t"))
     # sizes of similar sets differ by no more than the threshold lets them; a < b: each pair is met from its smaller id
     fits = (F.col("sid") < F.col("last")) & (F.col("least") * percent <= F.col("z") * 100) & (F.col("most") * 100 >= F.col("z") * percent)
-    candidates = split_join(asked, held, ["t"]).where(fits).select("sid", "gid").distinct()
+    candidates = checkpoint(split_join(asked, held, ["t"]).where(fits).select("sid", "gid").distinct())
     queries = hot_join(candidates, members.select("sid", F.col("toks").alias("q")), ["sid"])
-    bound = hot_join(queries, matrix.select("gid", "union"), ["gid"]).where(F.size(F.array_intersect("q", "union")) * 100 >= F.size("q") * percent).select("sid", "gid", "q")
-    opened = bound.withColumnRenamed("sid", "a").join(members.select("gid", F.col("sid").alias("b"), F.col("toks").alias("s")), "gid").where("a < b")
+    bound = checkpoint(hot_join(queries, matrix.select("gid", "union"), ["gid"], counted=candidates).where(F.size(F.array_intersect("q", "union")) * 100 >= F.size("q") * percent).select("sid", "gid", "q"))
+    # a group that many sets ask for is opened in several tasks
+    opened = split_join(bound.withColumnRenamed("sid", "a"), members.select("gid", F.col("sid").alias("b"), F.col("toks").alias("s")), ["gid"]).where("a < b")
     common = F.size(F.array_intersect("q", "s"))
     return opened.withColumn("n", common).where((F.size("q") * percent <= F.size("s") * 100) & (F.size("s") * percent <= F.size("q") * 100) & (F.col("n") * 100 >= (F.size("q") + F.size("s") - F.col("n")) * percent)).select("a", "b")
 
@@ -91,15 +92,16 @@ def groups(df: DataFrame, row: str, phash: str, text: str) -> DataFrame:
     near = near.join(ends.toDF("a", "src"), "a").join(ends.toDF("b", "dst"), "b").select("src", "dst")
     alike = similar_pairs(of_w.select(F.col("rep_w").alias("sid"), "words"), PERCENT).toDF("src", "dst")
     links = checkpoint(near.withColumn("kind", F.lit("h")).unionByName(alike.withColumn("kind", F.lit("w"))))
-    rows = hot_join(hot_join(with_set.select("row", "h", "wkey"), of_h, ["h"], "left"), of_w.drop("words"), ["wkey"], "left").select("row", "rep_h", "rep_w")
-    rows = checkpoint(rows)
+    keys = with_set.select("row", "h", "wkey")
+    rows = hot_join(hot_join(keys, of_h, ["h"], "left"), of_w.drop("words"), ["wkey"], "left", counted=keys).select("row", "rep_h", "rep_w")
+    rows = checkpoint(rows.withColumn("node", F.coalesce("rep_h", "rep_w", "row")))
     both = rows.where("rep_h is not null and rep_w is not null").select(F.col("rep_h").alias("src"), F.col("rep_w").alias("dst"))
     found = components.components(links.select("src", "dst").unionByName(both).where("src <> dst"))
     degree = links.select("kind", F.explode(F.array("src", "dst")).alias("rep")).groupBy("kind", "rep").agg(F.count("*").alias("n"))
-    out = rows.withColumn("node", F.coalesce("rep_h", "rep_w", "row"))
-    out = hot_join(out, found, ["node"], "left").withColumn("group_id", F.coalesce("component", "node"))
+    found = checkpoint(found)
+    out = hot_join(rows, found, ["node"], "left").withColumn("group_id", F.coalesce("component", "node"))
     for k, rep in (("h", "rep_h"), ("w", "rep_w")):
-        out = hot_join(out, degree.where(F.col("kind") == k).select(F.col("rep").alias(rep), F.col("n").alias(f"n_{k}")), [rep], "left")
+        out = hot_join(out, degree.where(F.col("kind") == k).select(F.col("rep").alias(rep), F.col("n").alias(f"n_{k}")), [rep], "left", counted=rows)
     return out.select(F.col("row").alias("id"), "group_id", (F.coalesce("n_h", F.lit(0)) + F.coalesce("n_w", F.lit(0))).alias("n_links"))
 
 

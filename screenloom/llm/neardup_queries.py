@@ -14,6 +14,7 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a group, as asked for; p4_groups holds the same without expanding groups into pairs."""
     return neardup.pairs_within(p4_groups(spark, sf_dir))
 
 
