@@ -26,10 +26,10 @@ def summaries(spark: SparkSession, evidence: str) -> DataFrame:
     return _documents(spark, f"{evidence}/*/crawl_summary.json", schemas.SUMMARY).where("session_id is not null")
 
 
-def broken(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """(path, document): files that hold no JSON of the schema's fields, for a report beside what could be read."""
-    known = spark.read.schema(schema + ", _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(pattern)
-    return known.withColumn("path", F.col("_metadata.file_path")).where("_bad is not null").select("path", F.col("_bad").alias("document"))
+def broken(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, document): files that hold no JSON, for a report beside what could be read."""
+    files = spark.read.option("wholetext", True).text(pattern).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document"))
+    return files.where(F.get_json_object("document", "$").isNull())
 
 
 def screens_of(summaries_: DataFrame) -> DataFrame:

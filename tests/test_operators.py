@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from screenloom.operators import frames, graph, hierarchy, ingest, search
+from screenloom.operators import frames, graph, hierarchy, ingest, rules, search
 
 S = "id long, session_id string, fingerprint string, title string, depth int, parent_fp string, ocr_text string, discovered_at string, phash string"
 
@@ -115,7 +115,7 @@ def test_graph(spark):
     assert lines[:3] == ["Home [depth=0] (3 items)", "  ❓ unknown [depth=1] (0 items)  ← unknown", "  Info2 [depth=1] (2 items)"] and len(lines) == 5
     mermaid = [r.line for r in graph.mermaid_lines(n, inner, "session_id", "fp", "id").orderBy("line_no").collect()]
     assert mermaid[0] == "graph TD" and mermaid[1] == '    n0["Home (d=0) | 3 items"]' and "    n0 --> n1" in mermaid and mermaid[-1] == "    style n1 fill:#ffcccc"
-    assert {r.node: r.chain for r in graph.title_chain(placed, shown).collect()}["b"] == "Home/Info2"
+    assert {r.node: r.chain for r in graph.title_chain(placed, shown).collect()}["b"] == ["Home", "Info2"]
     taps = spark.createDataFrame([("s", "a", "go", "b", 2), ("s", "a", "go2", "b", 1)], "scope string, parent string, text string, child string, seq int")
     items = spark.createDataFrame([("s", "a", "go2")], "scope string, node string, text string")
     assert {r.node: r.recipe for r in graph.recipes(placed, taps, items).collect()} == {"b": ["go2"], "c": None}
@@ -147,3 +147,33 @@ def test_frames(spark):
 def test_near_runs(spark):
     df = spark.createDataFrame([("k", i, i, x, 0) for i, x in enumerate([0, 40, 80, 200, 210, None, 210])], "key string, id int, ts int, x int, y int")
     assert [r.run for r in frames.near_runs(df, "x", "y", frames.order("key")).orderBy("id").collect()] == [1, 2, 3, 1, 2, 1, 1]
+
+
+def test_rules_in_any_number_and_ties(spark):
+    df = spark.createDataFrame([(1, "a7 b"), (2, None), (3, ""), (4, "c")], "id long, text string")
+    listed = spark.createDataFrame([(i, [f"a{i} ", f"z{i}"]) for i in range(12)] + [(99, ["c"])], "rule_id int, keywords array<string>")
+    assert {(r.id, r.rule_id) for r in rules.triggered(df, "text", listed, chunk=5).collect()} == {(1, 7), (4, 99)}
+    assert rules.triggered(df, "text", listed.limit(0)).count() == 0
+    scores = spark.createDataFrame([(1, 1, 0.9, 0.8, True), (1, 2, 0.9, 0.8, True), (1, 3, 0.99, 1.0, True), (2, 1, 0.9, 0.8, False), (3, 1, None, 0.1, True)], "image int, template_id int, score double, threshold double, open boolean")
+    assert [tuple(r) for r in rules.best_template(scores, ["image"]).collect()] == [(1, 1, 0.9)]
+    items = spark.createDataFrame([(1, 5, "Rank A", 0.8), (2, 5, "Rank B", 0.8), (3, 5, "Rank", None), (4, 6, None, 0.9), (5, 6, "", 0.9)], "id long, screen_id long, text string, confidence double")
+    assert {tuple(r) for r in rules.surest(items, "screen_id", ["no", "Rank"], 0.7).collect()} == {(5, "Rank A"), (6, None)}
+
+
+def test_dark_frames_break_islands_and_recoveries_end(spark):
+    rows = [(1, 1, 50.0), (2, 2, 50.0), (3, 3, 1.0), (4, 4, 50.0), (5, 5, 50.0), (6, 6, None)]
+    f = spark.createDataFrame([("k", ts, i, v) for i, ts, v in rows], "key string, ts int, id int, value double")
+    got = frames.lit_islands(f, F.col("value"), 10, lambda w: frames.distance_to_last(F.col("value"), w) >= 5, frames.order("key"), "key")
+    assert {r.id: r.unchanged for r in got.collect()} == {1: 0, 2: 1, 4: 0, 5: 1, 6: 0}
+    b = spark.createDataFrame([("k", i, i, i % 2 == 0) for i in range(1, 12)] + [("n", 1, 1, None)], "key string, ts int, id int, bites boolean")
+    got = frames.recoveries(b, F.col("bites"), frames.order("key"))
+    assert {r.id: r.recovery for r in got.where("recovery is not null").collect()} == {2: 1, 4: 2, 6: 3}
+
+
+def test_lookups_refuse_and_lists_end(spark):
+    rows = spark.createDataFrame([(1, "Map_1", None), (2, None, "a MAP"), (3, "x", "")], "id long, name string, ocr_text string")
+    assert [r.id for r in search.filtered(rows, "map", "0").collect()] == [1, 2] and search.filtered(rows, "", None).count() == 3
+    assert [r.id for r in search.filtered(rows, "map", "_").collect()] == [1]
+    assert search.by_id(rows, 2).count() == 1 and search.by_id(rows, 77).count() == 0
+    with pytest.raises(ValueError):
+        search.by_id(rows, 0)

@@ -83,3 +83,14 @@ def test_anomaly_keeps_all_words(spark):
     screens = spark.createDataFrame([(1, "t", None, text), (2, "t", "", None)], "id long, discovered_at string, title string, ocr_text string")
     got = {r.id: json.loads(r.json) for r in writers.anomalies(screens, "no text: check!").collect()}
     assert got[1]["ocr"] == text.split(" ") and got[2]["ocr"] == [""]
+
+
+def test_broken_files_are_reported(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "crawl_summary.json").write_text('{"session_id": "s1", "screens": []}')
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "crawl_summary.json").write_text('{"session_id": "s2", ')
+    from screenloom.sources import readers
+
+    assert [r.session_id for r in readers.summaries(spark, str(tmp_path)).collect()] == ["s1"]
+    assert [r.path.endswith("b/crawl_summary.json") for r in readers.broken(spark, f"{tmp_path}/*/crawl_summary.json").collect()] == [True]
