@@ -225,7 +225,9 @@ def plain_tokens(tokens: DataFrame) -> DataFrame:
     # letters of two scripts, or something like kana beside katakana: the rest has no letter to replace
     scripts = sum((F.when(token.rlike(rf"\p{{Is{s}}}"), 1).otherwise(0) for s in ("Latin", "Cyrillic", "Greek")), F.when(token.rlike(MAYBE_LETTERS), 1).otherwise(0))
     like_kana = token.rlike("[" + "".join(KANA_ALIKE) + STROKES + MAYBE_KANA + "]") & token.rlike(r"[\p{IsKatakana}ーｰ]")
-    points = base.select("key", ((scripts > 1) | like_kana).alias("odd"), F.posexplode(F.regexp_extract_all("token", F.lit("(?s)."), F.lit(0))).alias("pos", "ch"))
+    # told once per token: beside the explosion it would be told anew for each of the token's code points
+    marked = base.select("key", "token", ((scripts > 1) | like_kana).alias("odd"))
+    points = marked.select("key", "odd", F.posexplode(F.regexp_extract_all("token", F.lit("(?s)."), F.lit(0))).alias("pos", "ch"))
     # letters that look like others are held against them before they take their compatibility form
     kept = F.col("parts").isNull() | (F.col("odd") & F.col("late"))
     d = points.join(F.broadcast(parts), "ch", "left").select("key", "odd", "pos", F.posexplode_outer(F.when(kept, F.array("ch")).otherwise(F.col("parts"))).alias("sub", "c")).where("c is not null")
