@@ -220,7 +220,8 @@ def plain_tokens(tokens: DataFrame) -> DataFrame:
     """(key, token, plain) of distinct tokens (column token, not null). Tokens may be of any length."""
     spark = tokens.sparkSession
     parts, props = _tables(spark)
-    base = tokens.select(token_key(F.col("token")).alias("key"), "token").dropDuplicates(["key"])
+    # written down: they are exploded and met again, and the texts needn't be cut twice for that
+    base = checkpoint(tokens.select(token_key(F.col("token")).alias("key"), "token").dropDuplicates(["key"]))
     token = F.col("token")
     # letters of two scripts, or something like kana beside katakana: the rest has no letter to replace
     scripts = sum((F.when(token.rlike(rf"\p{{Is{s}}}"), 1).otherwise(0) for s in ("Latin", "Cyrillic", "Greek")), F.when(token.rlike(MAYBE_LETTERS), 1).otherwise(0))
