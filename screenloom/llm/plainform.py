@@ -297,7 +297,7 @@ def plain_texts(df: DataFrame, text: str, row: str, out: str = "plain") -> DataF
     are taken apart and rebuilt."""
     bad = changed_tokens(df, text).select("key", F.col("plain").alias("_plain"))
     # tokens and what is between them, in turn
-    pieces = lambda c: F.split(c, f"(?<=[{BETWEEN}])(?=[^{BETWEEN}])|(?<=[^{BETWEEN}])(?=[{BETWEEN}])")
+    pieces = lambda c: F.regexp_extract_all(c, F.lit(f"[^{BETWEEN}]+|[{BETWEEN}]+"), F.lit(0))
     cut = df.where(F.col(text).rlike("[^ -~]")).select(F.col(row).alias("_row"), F.posexplode(pieces(F.col(text))).alias("_at", "token"))
     cut = cut.where(F.col("token").rlike("[^ -~、。「」『』【】〈〉《》・]")).select("_row", "_at", token_key(F.col("token")).alias("key"))
     hit = _meet(cut, bad, "inner").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_plain"))).alias("_new"))

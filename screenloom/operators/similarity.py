@@ -5,13 +5,21 @@ r_i + 1 sum up to t. Were every band to differ in more than r_i bits, there woul
 band lies within its radius. One side is stored under each band's value, the other asks for each value within the
 radius. More bands mean fewer questions but fuller buckets, so the number of bands is chosen by the expected rows for
 the number of hashes; any choice is exact. Rows of a hot key are split over tasks (split_join).
+
+Such questions are rows, hundreds a hash where hashes are many. near_pairs, for small distances, moves each hash a few
+times only: of m bands, two hashes of distance below t have k = m - t + 1 in common. A hash goes to a task for each band
+that can be the first of those, and the task finds the other k - 1 by sorting. Each pair is told from its first k equal
+bands alone, so none comes twice.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,3 +115,82 @@ def hamming_matches(left: DataFrame, right: DataFrame, below: int, bands: int |
     lh, rh = (df.select("h").where("h is not null").distinct().toDF(n) for df, n in ((left, "lh"), (right, "rh")))
     near = _near(lh, rh, below, bands).where(hamming("lh", "rh") < below)
     return near.select("lh", "rh").distinct().withColumn("distance", hamming("lh", "rh"))
+
+
+#: Hashes of a cell of near_pairs that are one piece.
+PIECE = 400_000
+
+
+def shared_bands_for(n: int, below: int) -> int:
+    """The number of bands of near_pairs of least expected time for n hashes: sorting one costs as much as comparing ten.
+    There are four at least, so that a band has few values."""
+
+    def cost(m: int) -> float:
+        k = m - below + 1
+        return math.comb(m, k) * n * (10 + n / 2 / 2.0 ** (64 * k / m))
+
+    return min(range(max(4, below), max(4, below) + 6), key=cost)
+
+
+def _runs(v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs of equal values of sorted v, by the distance of their positions."""
+    at, d = np.flatnonzero(v[1:] == v[:-1]), 1
+    while len(at):
+        yield at, at + d
+        d += 1
+        at = at[: np.searchsorted(at, len(v) - d)]
+        at = at[v[at] == v[at + d]]
+
+
+def near_in_cell(hashes: np.ndarray, sides: np.ndarray, band: int, bands: int, below: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b), a < b, of distinct hashes (signed) that agree in that band and in none before as one of their first
+    bands in common. sides: 0 for all hashes, or 1 and 2 where only pairs of both are asked for."""
+    k = bands - below + 1
+    masks = [np.uint64(((1 << width) - 1) << at) for at, width in _cuts(bands)]
+    both = bool(sides.any())
+    whole = hashes.view(np.uint64)
+    for rest in combinations(range(band + 1, bands), k - 1):
+        mask = np.bitwise_or.reduce([masks[i] for i in (band, *rest)])
+        order = np.argsort(whole & mask)
+        h, side = whole[order], sides[order]
+        for i, j in _runs(h & mask):
+            x = h[i] ^ h[j]
+            good = np.bitwise_count(x) < below
+            if both:
+                good &= side[i] != side[j]
+            i, j, x = i[good], j[good], x[good]
+            for other in range(rest[-1] if rest else band):
+                if other != band and other not in rest:
+                    differs = (x & masks[other]) != 0
+                    i, j, x = i[differs], j[differs], x[differs]
+            if len(i):
+                a, b = h[i].view(np.int64), h[j].view(np.int64)
+                yield np.minimum(a, b), np.maximum(a, b)
+
+
+def near_pairs(hashes: DataFrame, below: int, bands: int | None = None) -> DataFrame:
+    """(a, b), a < b, of all pairs of values of column h (BIGINT, each once) that differ in fewer than `below` bits, which
+    should be few. hashes is read more than once. Null hashes are in no pair. An empty table has no pairs.
+
+    A hash is moved once for each band that can be the first in common; a cell of over PIECE hashes is cut in pieces of
+    which every two meet in a task of their own.
+    """
+    h = hashes.select("h").where("h is not null")
+    m = bands or shared_bands_for(max(1, hashes.count()), below)
+    first = F.array(*[_key(F.col("h"), i, m) * m + i for i in range(below)])
+    cells = h.select("h", F.explode(first).alias("cell"))
+    # no more cells than bands times their values
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
+    mine = F.pmod(F.xxhash64("h"), F.col("pieces")).cast("int").alias("mine")
+    met = cells.join(F.broadcast(sizes), "cell").select("cell", "h", mine, F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+    met = met.select("cell", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "h")
+
+    def pairs(table: pa.Table) -> pa.Table:
+        cell, p, q = (table.column(c)[0].as_py() for c in ("cell", "p", "q"))
+        mine = table.column("mine").to_numpy()
+        sides = np.where(mine == p, 1, 2).astype(np.int8) if p < q else np.zeros(len(mine), np.int8)
+        found = list(near_in_cell(table.column("h").to_numpy(), sides, cell % m, m, below))
+        a, b = (np.concatenate([x[i] for x in found]) if found else np.empty(0, np.int64) for i in (0, 1))
+        return pa.table({"a": a, "b": b})
+
+    return met.groupBy("cell", "p", "q").applyInArrow(pairs, "a long, b long")

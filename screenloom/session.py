@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +32,29 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Setting under which a query's shuffle files go when it has ended, not when the driver happens to collect its garbage.
+SHORT_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is planned in here leaves no shuffle files behind: for jobs whose result is written or collected."""
+    before = spark.conf.get(SHORT_SHUFFLES, "false")
+    spark.conf.set(SHORT_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHORT_SHUFFLES, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and cut its lineage; survives the loss of executors."""
     spark = df.sparkSession
     where = shared_dir(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    with short_shuffles(spark):
+        return df.select("*").checkpoint(eager=True)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -44,6 +62,36 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Kept:
+    """Tables between the steps of one job, in the shared folder: they cut the lineage as checkpoints do, but are
+    compressed and go as soon as the job drops them, at its end at the latest. Nothing lazy may outlive them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Kept:
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = shared_path(self.spark, "kept")
+        self.paths.append((df, path))  # what a broken write leaves goes, too
+        with short_shuffles(self.spark):
+            df.write.parquet(path, compression="zstd")
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[-1] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df, path in self.paths:
+            if any(df is t for t in tables):
+                remove(self.spark, path)
+        self.paths = [x for x in self.paths if not any(x[0] is t for t in tables)]
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(*[df for df, _ in self.paths])
+
+
 #: Rows of one key that a task takes without more ado, and keys that can be hot at once (see _hot).
 HOT_ROWS, MOST_HOT = 100_000, 10_000
 
@@ -55,11 +103,12 @@ def _hot(sides: list[DataFrame], keys: list[str], per_task: int) -> DataFrame |
     share of which there can't be more than MOST_HOT, so the table is of bounded size however large the sides are.
     """
     counts = [df.groupBy(*keys).agg(F.count("*").alias("_n")) for df in sides]
-    sums = None
-    for i, c in enumerate(counts):
-        one = c.agg(F.lit(i).alias("i"), F.max("_n").alias("most"), F.sum("_n").alias("total"))
-        sums = one if sums is None else sums.unionByName(one)
-    seen = {r.i: (r.most or 0, r.total or 0) for r in sums.collect()}
+    with short_shuffles(sides[0].sparkSession):
+        sums = None
+        for i, c in enumerate(counts):
+            one = c.agg(F.lit(i).alias("i"), F.max("_n").alias("most"), F.sum("_n").alias("total"))
+            sums = one if sums is None else sums.unionByName(one)
+        seen = {r.i: (r.most or 0, r.total or 0) for r in sums.select("*").collect()}
     if all(most <= per_task for most, _ in seen.values()):
         return None
     out = None
@@ -67,7 +116,8 @@ def _hot(sides: list[DataFrame], keys: list[str], per_task: int) -> DataFrame |
         least = max(per_task, seen[i][1] // MOST_HOT)
         part = c.where(F.col("_n") > least).select(*keys, F.ceil(F.col("_n") / per_task).cast("int").alias(f"_p{i}"))
         out = part if out is None else out.join(part, keys, "full")
-    found = out.dropna(subset=keys).collect()  # at most MOST_HOT a side
+    with short_shuffles(sides[0].sparkSession):
+        found = out.dropna(subset=keys).collect()  # at most MOST_HOT a side
     return F.broadcast(sides[0].sparkSession.createDataFrame(found, out.schema)) if found else None
 
 

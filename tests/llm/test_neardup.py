@@ -2,6 +2,10 @@
 
 import random
 import re
+from pathlib import Path
+
+import numpy as np
+import pytest
 
 from screenloom.llm import neardup, neardup_queries
 from tests.llm.test_plainform import brute as plain
@@ -76,3 +80,50 @@ def test_nulls_ties_long_texts_and_empty(spark):
     df = spark.createDataFrame([(*r, "clash", 0) for r in rows], "id long, phash string, ocr_text string, words string, row int")
     assert {r.id: r.group_id for r in neardup.groups(df, "id", "phash", "ocr_text").collect()} == {1: 1, 2: 2, 3: 3, 4: 3, 5: 3, 6: 3, 7: 7, 8: 8, 9: 9}
     assert neardup.groups(df.limit(0), "id", "phash", "ocr_text").count() == 0
+
+
+@pytest.mark.parametrize(("rare", "most", "largest"), [(0, 1_000_000, 40), (3, 1_000_000, 40), (3, 20, 40), (0, 1_000_000, 14), (5, 30, 14), (3, 0, 40)])
+def test_all_kinds_of_keys_lose_no_pair(spark, monkeypatch, rare, most, largest):
+    """Rare and frequent tokens, more of them than all tasks know, triples, small and large sets."""
+    monkeypatch.setattr(neardup, "RARE", rare)
+    monkeypatch.setattr(neardup, "MOST_FREQUENT", most)
+    monkeypatch.setattr(neardup, "LARGEST", largest)
+    for percent in (50, 70, 90):
+        g = random.Random(percent + rare)
+        sets = variants(g, 100)
+        sets |= {1000 + i: s for i, s in enumerate({frozenset(g.sample(["w1", "w2", "w3", "w4"], g.randrange(1, 5))) for _ in range(9)}) if s not in sets.values()}
+        df = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "sid long, words array<string>")
+        got = [tuple(r) for r in neardup.similar_pairs(df, percent).collect()]
+        assert set(got) == jaccard_pairs(sets, percent) and len(got) == len(set(got)) and got
+
+
+def test_frequent_tokens_are_no_keys():
+    """Single tokens of many sets are not asked for: candidates would grow as the square of the sets."""
+    words = np.arange(100, 130)
+    many = np.full(30, 10_000)
+    _, owner, key, held = neardup.signed(np.array([1, 2]), np.array([12, 12]), np.concatenate([words[:12], np.r_[words[:11], 7]]), words, many, 70)
+    assert not set(key.tolist()) & set(words.tolist()) and held.all()
+    assert 7 in key[owner == 1].tolist() and set(key[owner == 0].tolist()) & set(key[owner == 1].tolist())
+
+
+def test_groups_leave_no_tables_and_shuffles(spark, sf):
+    """What the steps wrote is gone when they have ended, whether or not the driver collects its garbage."""
+    from pyspark.sql import functions as F
+
+    from screenloom.session import checkpoint
+
+    local = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    bytes_of = lambda: sum(p.stat().st_size for p in local.rglob("shuffle_*.data"))
+    before = bytes_of()
+    checkpoint(spark.range(200_000).groupBy(F.xxhash64("id").alias("k")).count())
+    assert bytes_of() - before < 100_000
+    before = bytes_of()
+    assert neardup_queries.p4_groups(spark, sf).count()
+    assert bytes_of() - before < 200_000
+    assert not list(Path(spark.conf.get("spark.checkpoint.dir")).rglob("kept-*"))
+
+
+def test_repeated_rows_are_one(spark):
+    text = " ".join(f"label{chr(97 + i)}" for i in range(12))
+    df = spark.createDataFrame([(1, "0000000000000001", text), (1, "0000000000000001", text), (2, None, text), (None, "0000000000000001", text)], "id long, phash string, ocr_text string")
+    assert sorted(tuple(r) for r in neardup.groups(df, "id", "phash", "ocr_text").collect()) == [(1, 1, 0), (2, 1, 0)]

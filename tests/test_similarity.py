@@ -43,6 +43,23 @@ def test_hot_bucket_is_split(spark, monkeypatch):
     assert {(r.a, r.b) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize(("below", "bands", "piece"), [(1, None, 9), (4, None, 10**6), (8, None, 10**6), (8, 8, 10**6), (8, 9, 7), (8, 10, 10**6), (8, 11, 30), (8, None, 1)])
+def test_near_pairs_equal_brute_force(spark, monkeypatch, below, bands, piece):
+    """Each pair once, whatever the bands, and with cells cut in pieces."""
+    monkeypatch.setattr(similarity, "PIECE", piece)
+    g = random.Random(below)
+    hs = sorted({*near_hashes(g, 40), *(x ^ 5 for x in range(40)), (1 << 64) - 1, 1 << 63})
+    want = {(min(SIGNED(a), SIGNED(b)), max(SIGNED(a), SIGNED(b))) for i, a in enumerate(hs) for b in hs[:i] if (a ^ b).bit_count() < below}
+    got = [tuple(r) for r in similarity.near_pairs(spark.createDataFrame([(SIGNED(h),) for h in hs] + [(None,)], "h long"), below, bands).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_hash_is_moved_a_few_times(spark):
+    """Rows of the exchange to the cells: one for each band that can be the first in common, not one for each question."""
+    assert max(similarity.shared_bands_for(n, 8) for n in (100, 10**5, 10**7, 10**9)) <= 13
+    assert similarity.near_pairs(spark.createDataFrame([], "h long"), 8).count() == 0
+
+
 def test_bands_follow_the_number_of_hashes():
     assert [similarity.bands_for(n, 8) for n in (100, 2_000, 200_000, 10**7, 10**10)] == [8, 5, 4, 3, 2]
 
