@@ -36,6 +36,8 @@ GROUP = 16
 RARE, MOST_FREQUENT = 8, 1_000_000
 #: Tokens of a key of frequent tokens, and the largest set that has such keys.
 TOGETHER, LARGEST = 3, 64
+#: Sets whose keys a task makes at once.
+AT_ONCE = 1_000
 #: Links of problem 4: bits that differ, distinct words, words in common in percent.
 BELOW_BITS, LEAST_WORDS, PERCENT = 8, 10, 70
 
@@ -118,11 +120,9 @@ def signatures(sets: DataFrame, percent: int) -> DataFrame:
     frequent, counts = frequent_tokens(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (x.slice(i, AT_ONCE) for x in batches for i in range(0, x.num_rows, AT_ONCE)):
             sid, toks = b.column(0).to_numpy(), b.column(1)
-            size = np.diff(toks.offsets.to_numpy()).astype(np.int64)
+            size = np.diff(toks.offsets.to_numpy()).astype(np.int64)  # of a slice these don't begin with 0
             gid, owner, key, held = signed(sid, size, toks.flatten().to_numpy(), frequent, counts, percent)
             order = np.lexsort((~held, owner))
             n_keys, n_held = (np.bincount(x, minlength=len(sid)) for x in (owner, owner[held]))
