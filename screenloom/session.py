@@ -66,6 +66,9 @@ class Kept:
     """Tables between the steps of one job, in the shared folder: they cut the lineage as checkpoints do, but are
     compressed and go as soon as the job drops them, at its end at the latest. Nothing lazy may outlive them."""
 
+    #: Keys hardly repeat, so dictionaries only take memory, and so do large pages.
+    SMALL_PAGES = {"parquet.enable.dictionary": "false", "parquet.page.size": str(128 << 10), "parquet.block.size": str(32 << 20)}
+
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.paths: list[tuple[DataFrame, str]] = []
@@ -77,7 +80,7 @@ class Kept:
         path = shared_path(self.spark, "kept")
         self.paths.append((df, path))  # what a broken write leaves goes, too
         with short_shuffles(self.spark):
-            df.write.parquet(path, compression="zstd")
+            df.write.options(**self.SMALL_PAGES).parquet(path, compression="zstd")
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[-1] = (out, path)
         return out
